@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.llm import density_peaks, near_duplicates
+from typeloom.llm import density_peaks, near_duplicates, split_overlap
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,17 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_classes(spark, members, pairs)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = split_overlap.overlaps(spark, table(spark, d, "samples"), table(spark, d, "cell_grids"))
+    ends = F.least("train_id", "eval_id"), F.greatest("train_id", "eval_id")
+    return found.select(ends[0].alias("sample_a"), ends[1].alias("sample_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "samples")
+    return split_overlap.report(samples, split_overlap.overlaps(spark, samples, table(spark, d, "cell_grids")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return density_peaks.clusters(spark, table(spark, d, "cell_grids")).select("glyph_id", "cluster_id").distinct()
 
@@ -31,6 +43,8 @@ def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
 }
@@ -47,6 +61,15 @@ _P2_PAIRS = f"""
         HAVING count(*) >= 0.7::DOUBLE * (a.n + b.n - count(*))
     )"""
 
+_P3 = f"""{_P2_PAIRS},
+    s AS (
+        SELECT sample_id, glyph_id, source, CASE WHEN regexp_matches(lower(split), '^\\s*train') THEN 'train' WHEN regexp_matches(lower(split), '^\\s*val') THEN 'val'
+            WHEN regexp_matches(lower(split), '^\\s*test') THEN 'test' END AS split
+        FROM samples),
+    alike AS (SELECT glyph_a AS g, glyph_b AS h FROM p2 UNION SELECT glyph_b, glyph_a FROM p2 UNION SELECT glyph_id, glyph_id FROM s WHERE glyph_id IS NOT NULL),
+    p3 AS (SELECT DISTINCT t.sample_id AS t_id, e.sample_id AS e_id, e.split, e.source, t.glyph_id AS tg, e.glyph_id AS eg
+        FROM s t JOIN alike ON alike.g = t.glyph_id JOIN s e ON e.glyph_id = alike.h WHERE t.split = 'train' AND e.split <> 'train')"""
+
 ORACLE: dict[str, str] = {
     "p2_found": f"WITH {_P2_PAIRS} SELECT DISTINCT glyph_a, glyph_b FROM p2",
     "p2_classes": f"""
@@ -57,4 +80,10 @@ ORACLE: dict[str, str] = {
     contents AS (SELECT a.glyph_id, count(DISTINCT b.vals) AS n FROM sets a JOIN ends p ON p.u = a.glyph_id JOIN sets b ON b.glyph_id = p.v AND b.vals <> a.vals GROUP BY 1)
     SELECT s.glyph_id, least(s.glyph_id, coalesce(l.m, s.glyph_id)) AS class_id, coalesce(c.n, 0) AS n_links
     FROM (SELECT DISTINCT glyph_id FROM sets) s LEFT JOIN least_of l ON l.u = s.glyph_id LEFT JOIN contents c ON c.glyph_id = s.glyph_id""",
+    "p3_found": f"WITH {_P3} SELECT DISTINCT least(t_id, e_id) AS sample_a, greatest(t_id, e_id) AS sample_b FROM p3",
+    "p3_report": f"""
+    WITH {_P3},
+    per AS (SELECT e_id, count(*) AS pairs, bool_or(tg = eg OR exists(SELECT 1 FROM sets x JOIN sets y ON x.vals = y.vals WHERE x.glyph_id = tg AND y.glyph_id = eg)) AS exact FROM p3 GROUP BY e_id)
+    SELECT split, source, count(*) AS n_samples, count(pairs) AS n_leaked, count(*) FILTER (WHERE exact) AS n_exact, coalesce(sum(pairs), 0)::BIGINT AS n_pairs
+    FROM s LEFT JOIN per ON per.e_id = s.sample_id WHERE split <> 'train' GROUP BY split, source""",
 }
