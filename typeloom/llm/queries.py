@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.llm import density_peaks, near_duplicates, split_overlap
+from typeloom.llm import density_peaks, fixed_sample, grouped_splits, near_duplicates, split_overlap, term_counts
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,31 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(samples, split_overlap.overlaps(spark, samples, table(spark, d, "cell_grids")))
 
 
+SAMPLE_SIZE = 1000
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return fixed_sample.fixed_sample(spark, table(spark, d, "cells").filter("mask <> 0"), "cell_id", SAMPLE_SIZE, seed=7)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return term_counts.primitive_counts(spark, table(spark, d, "cells")).filter("mark IS NOT NULL").select("primitive_id", "mark")
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return term_counts.primitive_counts(spark, table(spark, d, "cells"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    grouped = grouped_splits.groups(spark, table(spark, d, "meta_records"), table(spark, d, "fonts"))
+    return grouped.filter(~F.col("group_id").rlike("^[gr]:")).select("record_id", F.col("group_id").alias("group_font")).distinct()
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    grouped = grouped_splits.groups(spark, table(spark, d, "meta_records"), table(spark, d, "fonts"))
+    return grouped_splits.assign(spark, grouped)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return density_peaks.clusters(spark, table(spark, d, "cell_grids")).select("glyph_id", "cluster_id").distinct()
 
@@ -45,6 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_sample": p4_sample,
+    "p5_found": p5_found,
+    "p5_counts": p5_counts,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
 }
@@ -70,6 +100,25 @@ _P3 = f"""{_P2_PAIRS},
     p3 AS (SELECT DISTINCT t.sample_id AS t_id, e.sample_id AS e_id, e.split, e.source, t.glyph_id AS tg, e.glyph_id AS eg
         FROM s t JOIN alike ON alike.g = t.glyph_id JOIN s e ON e.glyph_id = alike.h WHERE t.split = 'train' AND e.split <> 'train')"""
 
+_P5 = """
+    places AS (SELECT DISTINCT cell_id, glyph_id, primitive_id FROM cells WHERE primitive_id NOT IN (-1, 65535) AND cell_id IS NOT NULL),
+    n AS (SELECT count(DISTINCT glyph_id) AS n FROM places),
+    counts AS (SELECT primitive_id, count(*) AS occurrences, count(DISTINCT glyph_id) AS records FROM places GROUP BY 1),
+    p5 AS (SELECT counts.*, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.5::DOUBLE * n.n THEN 'common' END AS mark FROM counts, n)"""
+
+_P6 = """
+    bare AS (SELECT record_id, glyph_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(font_hash, '\\s+', '', 'g')), '^([a-z]+[0-9]*[:/]+|sha-?[0-9]+[-_:]|font[-_:])+', ''),
+        '(\\.[a-z0-9]+|#[0-9]*)+$', ''), '-', '', 'g') AS h FROM meta_records),
+    hexed AS (SELECT record_id, glyph_id, CASE WHEN regexp_full_match(h, '[0-9a-f]{6,40}') THEN h END AS h FROM bare),
+    known AS (SELECT file_hash AS f FROM fonts UNION SELECT h FROM hexed WHERE length(h) = 40),
+    short AS (SELECT h, min(f) AS f FROM (SELECT DISTINCT h FROM hexed WHERE length(h) < 40) JOIN known ON starts_with(f, h) GROUP BY h HAVING count(*) = 1),
+    named AS (SELECT record_id, 'g:' || glyph_id AS g, CASE WHEN length(x.h) = 40 THEN x.h ELSE s.f END AS f FROM hexed x LEFT JOIN short s ON s.h = x.h),
+    pairs AS (SELECT DISTINCT f, g FROM named WHERE f IS NOT NULL AND g IS NOT NULL),
+    hops AS (SELECT DISTINCT a.f AS u, b.f AS v FROM pairs a JOIN pairs b ON a.g = b.g),
+    reach AS (SELECT u, v FROM hops UNION SELECT r.u, h.v FROM reach r JOIN hops h ON r.v = h.u),
+    of_font AS (SELECT f, min(coalesce(v, f)) AS label FROM (SELECT DISTINCT f FROM named WHERE f IS NOT NULL) LEFT JOIN reach ON u = f GROUP BY f),
+    of_glyph AS (SELECT g, min(label) AS label FROM pairs JOIN of_font USING (f) GROUP BY g)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": f"WITH {_P2_PAIRS} SELECT DISTINCT glyph_a, glyph_b FROM p2",
     "p2_classes": f"""
@@ -86,4 +135,13 @@ ORACLE: dict[str, str] = {
     per AS (SELECT e_id, count(*) AS pairs, bool_or(tg = eg OR exists(SELECT 1 FROM sets x JOIN sets y ON x.vals = y.vals WHERE x.glyph_id = tg AND y.glyph_id = eg)) AS exact FROM p3 GROUP BY e_id)
     SELECT split, source, count(*) AS n_samples, count(pairs) AS n_leaked, count(*) FILTER (WHERE exact) AS n_exact, coalesce(sum(pairs), 0)::BIGINT AS n_pairs
     FROM s LEFT JOIN per ON per.e_id = s.sample_id WHERE split <> 'train' GROUP BY split, source""",
+    "p4_sample": """
+    SELECT row_number() OVER (ORDER BY md5('7:' || cell_id), cell_id) AS position, cell_id FROM (SELECT DISTINCT cell_id FROM cells WHERE mask <> 0 AND cell_id IS NOT NULL)
+    ORDER BY position LIMIT 1000""",
+    "p5_found": f"WITH {_P5} SELECT primitive_id, mark FROM p5 WHERE mark IS NOT NULL",
+    "p5_counts": f"WITH {_P5} SELECT * FROM p5",
+    "p6_found": f"""
+    WITH RECURSIVE {_P6}
+    SELECT DISTINCT record_id, coalesce(a.label, b.label) AS group_font FROM named LEFT JOIN of_font a ON a.f = named.f LEFT JOIN of_glyph b ON b.g = named.g
+    WHERE coalesce(a.label, b.label) IS NOT NULL""",
 }
