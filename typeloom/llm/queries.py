@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.llm import density_peaks, fixed_sample, grouped_splits, near_duplicates, split_overlap, term_counts
+from typeloom.llm import density_peaks, fixed_sample, grouped_splits, near_duplicates, packing, split_overlap, term_counts
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,14 @@ def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density_peaks.described(density_peaks.clusters(spark, table(spark, d, "cell_grids")))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(spark, packing.token_counts(table(spark, d, "documents")))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p8_packed(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
+    "p8_packed": p8_packed,
+    "p8_summary": p8_summary,
 }
 
 _VALID = "cells IS NOT NULL AND len(cells) = 256 AND NOT list_contains(list_transform(cells, lambda x: x IS NULL), true) AND list_bool_or(list_transform(cells, lambda x: x <> 0))"
