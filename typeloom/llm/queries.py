@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.llm import density_peaks, fixed_sample, grouped_splits, near_duplicates, packing, split_overlap, term_counts
+from typeloom.llm import density_peaks, fixed_sample, grouped_splits, leakage, near_duplicates, packing, split_overlap, term_counts
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,14 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p8_packed(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.item_report(table(spark, d, "eval_items"), p9_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -85,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
     "p8_packed": p8_packed,
     "p8_summary": p8_summary,
 }
