@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.llm import density_peaks, fixed_sample, grouped_splits, leakage, near_duplicates, packing, split_overlap, term_counts
+from typeloom.llm import density_peaks, fixed_sample, grouped_splits, leakage, near_duplicates, packing, split_overlap, term_counts, truncation
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +81,14 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(table(spark, d, "eval_items"), p9_found(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(spark, table(spark, d, "documents")).filter("cut").select("doc_id").distinct()
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(truncation.truncated(spark, table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -93,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
+    "p10_found": p10_found,
+    "p10_report": p10_report,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p8_packed": p8_packed,
