@@ -6,9 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from typeloom.catalog import table
+from typeloom.operators import compaction
+from typeloom.plans import evaluation_queries, grid_queries, relational_queries
+from typeloom.storage import Stage
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def _consolidated(spark: SparkSession, d: str) -> DataFrame:
+    records = compaction.gathered(table(spark, d, "grid_files"), table(spark, d, "file_checks"))
+    return compaction.consolidate(spark, records, Stage(spark, "consolidated").root)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consolidated(spark, d).select("glyph_id", "content_kind")
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.file_summary(_consolidated(spark, d))
+
+
+flagship = evaluation_queries.flagship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_files": p1_files,
+    **relational_queries.QUERIES,
+    **grid_queries.QUERIES,
+    **evaluation_queries.QUERIES,
+}
+
+ORACLE: dict[str, str] = {
+    "p1_found": """
+    SELECT DISTINCT regexp_extract(file_path, '([0-9]+)[.][A-Za-z0-9]+\\s*$', 1)::BIGINT AS glyph_id, 'grid' AS content_kind FROM grid_files
+    WHERE (octet_length(payload) = 512 AND file_path ILIKE '%.u16') OR (octet_length(payload) = 640 AND file_path ILIKE '%.npy')
+    UNION ALL
+    SELECT glyph_id, 'raster' FROM (SELECT regexp_extract(raster_path, '([0-9]+)[.][A-Za-z0-9]+\\s*$', 1)::BIGINT AS glyph_id, arg_max({'ok': raster_ok, 'n': raster_bytes}, {'t': checked_at, 'i': check_id}) AS x
+        FROM file_checks GROUP BY 1) WHERE x.ok AND x.n > 0""",
+    **relational_queries.ORACLE,
+    **grid_queries.ORACLE,
+    **evaluation_queries.ORACLE,
+}
