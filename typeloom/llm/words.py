@@ -17,11 +17,11 @@ def words(text: str | None) -> list[str]:
     joined, compatibility forms and accents folded, case folded. No words for null."""
     if not text:
         return []
+    if "&" in text:
+        text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
         text = "".join(c for c in text if not unicodedata.combining(c))
-    if "&" in text:
-        text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "-" in text or "‐" in text:
