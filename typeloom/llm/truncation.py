@@ -59,8 +59,8 @@ def limits(rows: DataFrame) -> DataFrame:
     """(source, unit, at): the sources whose lengths have a spike at their maximum, in characters or in bytes.
 
     The spike is the number of lengths within ``TOLERANCE`` of the maximum (bytes) or at it (characters), against what
-    the lengths of the upper half of the range would put there. Where both have one, the unit with more texts at its limit
-    wins, then characters.
+    the lengths of the upper half of the range would put there. Where both have one, bytes win if they have over a tenth
+    more texts at their limit, as the tolerance alone adds a few.
     """
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n"))))
     lengths = rows.select("source", unit.alias("x")).select("source", "x.unit", "x.n").groupBy("source", "unit", "n").agg(F.count("*").alias("k"))
@@ -72,7 +72,7 @@ def limits(rows: DataFrame) -> DataFrame:
     tested = near.groupBy("source", "unit", "at").agg(F.sum(F.when(spot, F.col("k")).otherwise(0)).alias("here"), F.sum(F.when(upper, F.col("k")).otherwise(0)).alias("below"))
     expected = F.col("below") / F.greatest(F.col("at") / 2, F.lit(1)) * (slack + 1)
     spikes = tested.filter((F.col("here") >= MIN_AT_LIMIT) & (F.col("here") >= SPIKE * expected))
-    return spikes.groupBy("source").agg(F.max_by(F.struct("unit", "at"), F.struct("here", "unit")).alias("x")).select("source", "x.unit", "x.at")
+    return spikes.groupBy("source").agg(F.max_by(F.struct("unit", "at"), F.col("here") * F.when(F.col("unit") == "chars", 1.1).otherwise(1.0)).alias("x")).select("source", "x.unit", "x.at")
 
 
 def formulas(rows: DataFrame, end: str, share: float) -> DataFrame:
