@@ -184,7 +184,9 @@ def rasterised(glyphs: DataFrame, key: str, engine: str = "winding") -> DataFram
 
     blank = F.col("target_dim").isNull()
     rows = glyphs.select(key, F.when(blank, F.array().cast(OUTLINE)).otherwise(placed).alias("outline"))
-    return rows.mapInArrow(draw, f"`{key}` {dict(glyphs.dtypes)[key]}, px binary")
+    # drawing costs far more than moving an outline, and a fixed number of partitions isn't merged for being small
+    parts = int(glyphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).mapInArrow(draw, f"`{key}` {dict(glyphs.dtypes)[key]}, px binary")
 
 
 BINARISE = {"at_128": 128, "above_0": 1}

@@ -41,6 +41,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as the cluster has cores, for costly work on each row.
+
+    Only a plain scan may be passed: counting its partitions then runs nothing. Inputs of many files are left as they are;
+    one small file is spread by a shuffle that costs little against the work that follows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 class Stage:
     """The intermediate tables of one query. ``keep`` writes one, ``drop`` removes one that nothing reads any more."""
 
