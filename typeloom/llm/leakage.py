@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm.words import words
-from typeloom.storage import Stage
+from typeloom.storage import Stage, balanced
 
 SHARE = 0.5  # of the item's words
 STRETCH = 2  # window length by item length
@@ -146,7 +146,7 @@ def coded_documents(stage: Stage, documents: DataFrame, vocabulary: dict[str, in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "codes"])
 
     texts = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return stage.keep(texts.mapInArrow(code, "doc_id bigint, codes array<int>"), "coded")
+    return stage.keep(balanced(texts).mapInArrow(code, "doc_id bigint, codes array<int>"), "coded")
 
 
 def leaked(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _searched(stage: Stage, documents: DataFrame, block: list[tuple[int, list[st
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc]), pa.array(index.ids[item])], ["doc_id", "item_id"])
                 at = to
 
-    return coded.mapInArrow(search, "doc_id bigint, item_id bigint")
+    return balanced(coded).mapInArrow(search, "doc_id bigint, item_id bigint")
 
 
 def item_report(items: DataFrame, found: DataFrame) -> DataFrame:

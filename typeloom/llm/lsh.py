@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.storage import Stage
+from typeloom.storage import Stage, balanced
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PROBES = 64
@@ -92,7 +92,7 @@ def band_names(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def banded(classes: DataFrame, payload: str, signer: Callable[[pa.Array], np.ndarray], bands: int, rows: int) -> DataFrame:
-    """(fp, buckets array<bigint>) of ``classes``; ``signer`` gives the signature matrix of an Arrow column."""
+    """(fp, buckets array<bigint>) of ``classes``, a table read from storage; ``signer`` gives the signature matrix of an Arrow column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +103,7 @@ def banded(classes: DataFrame, payload: str, signer: Callable[[pa.Array], np.nda
                 lists = pa.ListArray.from_arrays(offsets, pa.array(names.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["fp", "buckets"])
 
-    return classes.select("fp", payload).mapInArrow(run, "fp binary, buckets array<bigint>")
+    return balanced(classes.select("fp", payload)).mapInArrow(run, "fp binary, buckets array<bigint>")
 
 
 def star_edges(buckets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typeloom.storage import Stage
+from typeloom.storage import Stage, balanced
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -160,7 +160,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
     texts = documents.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''")
-    return texts.mapInArrow(count, "doc_id bigint, n_tokens bigint").filter("n_tokens > 0")
+    return balanced(texts).mapInArrow(count, "doc_id bigint, n_tokens bigint").filter("n_tokens > 0")
 
 
 def packed(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:

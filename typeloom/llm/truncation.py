@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.storage import Stage
+from typeloom.storage import Stage, balanced
 
 TOLERANCE = 3  # a limit in bytes never cuts a character, so up to three bytes are missing
 MIN_AT_LIMIT = 3
@@ -29,7 +29,7 @@ def features(documents: DataFrame, key: str, source: str, column: str) -> DataFr
     """
     text, body, last = F.col(column), F.col("body"), F.col("last")
     # each step is its own projection: the optimizer doesn't merge those that would repeat costly expressions
-    texts = documents.filter(text.isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), text.alias("text"))
+    texts = balanced(documents.filter(text.isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), text.alias("text")))
     texts = texts.withColumn("body", F.regexp_replace("text", _TAIL, ""))
     texts = texts.withColumn("last", F.trim(F.substring_index("body", "\n", -1))).withColumn("marked", F.col("last").rlike(_DOTS + "$"))
     text, marked = F.col("text"), F.col("marked")
