@@ -19,7 +19,7 @@ _LOCAL_ONLY = "typeloom.local.checkpoint"
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where it is unset (tests, local mode) a folder of its own."""
     conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     try:
