@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from typeloom.operators.ordering import ranked
+
 POPULATION_EDGES = (0, 10, 100, 1_000, 10_000, 100_000, 1_000_000_000)
 CLASS_EDGES = (0, 1, 2, 5, 10, 20, 50, 100, 1_000_000)
 
@@ -67,9 +69,9 @@ def order_statistics(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def dense_labels(rows: DataFrame, label: str) -> DataFrame:
-    """(label, idx): distinct labels numbered from 0 in code-point order. One row a label goes through the window."""
+    """(label, idx): distinct labels numbered from 0 in code-point order."""
     distinct = rows.select(label).filter(F.col(label).isNotNull() & (F.trim(label) != "")).distinct()
-    return distinct.withColumn("idx", F.row_number().over(Window.orderBy(label)) - 1)
+    return ranked(distinct, label, "idx")
 
 
 def minimum_support(rows: DataFrame, label: str, least: int) -> DataFrame:

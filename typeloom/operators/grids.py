@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeloom.operators.ordering import ranked
+
 SIDE = 16
 TOKENS = SIDE * SIDE
 UNASSIGNED = (-1, 65535)
@@ -65,13 +67,5 @@ def pooled(tokens: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def row_major_ids(glyphs: DataFrame, key: str) -> DataFrame:
-    """(key, first_cell_id): 256 consecutive ids a glyph, glyphs in key order.
-
-    Ranks come from range partitions: each partition's row count gives the next one's first rank.
-    """
-    from pyspark.sql import Window
-
-    ordered = glyphs.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    before = ordered.groupBy("part").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("part")) - F.col("k")).drop("k")
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return ordered.withColumn("rank", rank).join(F.broadcast(before), "part").select(key, ((F.col("rank") + F.col("before")) * TOKENS).alias("first_cell_id"))
+    """(key, first_cell_id): 256 consecutive ids a glyph, glyphs in key order."""
+    return ranked(glyphs.select(key).distinct(), key).select(key, (F.col("rank") * TOKENS).alias("first_cell_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from typeloom.operators.ordering import ranked
+
 TRAIN_SHARE = 0.86
 PRECEDENCE = {"train": 0, "val": 1, "test": 2}
 
@@ -76,8 +78,7 @@ def downsampled(rows: DataFrame, key: str, thinned: Column, p: float, seed: int
 
 def every_nth(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Rows 0, n, 2n... in key order."""
-    at = F.row_number().over(Window.orderBy(key)) - 1
-    return rows.withColumn("__at", at).filter(F.col("__at") % n == 0).drop("__at")
+    return ranked(rows, key, "__at").filter(F.col("__at") % n == 0).drop("__at")
 
 
 def selected(rows: DataFrame, key: str, ids: DataFrame | None = None, nth: int = 0, k: int = 0, seed: int = 0, first: int = 10) -> DataFrame:
