@@ -3,7 +3,7 @@
 Half of an item's words are enough and any single word may be edited, so the only shingles that are sure to survive are
 single words; shingles here are words, ordered by the number of documents they occur in. For an item of m words of which
 t = ceil(m/2) must be found, any window that holds t of them holds at least l of its m-t+l rarest. The join runs on those
-necessary prefix words, asks for l of them within twice the item's length (length and positional bound), and the exact
+necessary prefix words and asks for l of them, in order, within twice the item's length (length and positional bounds). The exact
 check is the longest common subsequence of item and window, for all candidates of a batch at once in bit-parallel steps.
 """
 
@@ -109,9 +109,9 @@ class Items:
         if not total:
             return none, none
         hit_item = self.postings[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[word], n)]
-        hit_pos, hit_doc = np.repeat(pos, n), np.repeat(owner, n)
         order = np.argsort(hit_item.astype(np.int16), kind="stable")
-        hit_item, hit_pos, hit_doc = hit_item[order], hit_pos[order], hit_doc[order]
+        source = np.repeat(np.arange(len(pos)), n)[order]
+        hit_item, hit_pos, hit_doc, hit_word = hit_item[order], pos[source], owner[source], word[source]
         end = np.arange(total) + self.few[hit_item] - 1
         ok = end < total
         end = np.minimum(end, total - 1)
@@ -125,6 +125,12 @@ class Items:
         key = np.unique(np.stack([np.tile(owner, 2), np.tile(item, 2), blocks], axis=1), axis=0)
         owner, item, block = key.T
         window, slack = STRETCH * self.size[item], np.maximum(1, self.size[item] // 8)
+        # the prefix words of a passage stand in the item's order too: the hits of a block are checked before its words
+        where = hit_item * len(spread) + hit_pos
+        begin = np.searchsorted(where, item * len(spread) + np.maximum(block * window, 0))
+        end = np.searchsorted(where, item * len(spread) + np.minimum((block + 2) * window + slack, len(spread) - 1))
+        ok = self.common(item, begin, end - begin, hit_word) >= self.few[item]
+        owner, item, block, window, slack = owner[ok], item[ok], block[ok], window[ok], slack[ok]
         ok = self.common(item, block * window, 2 * window + slack, spread) >= self.need[item]
         owner, item, block, window, slack = owner[ok], item[ok], block[ok], window[ok], slack[ok]
         # item-sized windows within the blocks that are left
