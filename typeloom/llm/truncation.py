@@ -81,9 +81,9 @@ def formulas(rows: DataFrame, end: str, share: float) -> DataFrame:
     There are at most 1/share of them.
     """
     of = rows.filter((F.col("end") == end) & F.col("line").isNotNull() & (F.col("line") != ""))
-    total = rows.filter(F.col("end") == end).agg(F.count_distinct("content").alias("total"))
+    total = rows.filter(F.col("end") == end).select("content").distinct().count()
     counts = of.groupBy("line", "content").agg(F.bool_or("at_limit").alias("cut")).groupBy("line").agg(F.count("*").alias("n"), F.count_if("cut").alias("cut"))
-    return counts.crossJoin(F.broadcast(total)).filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("total")) & (2 * F.col("cut") < F.col("n"))).select("line")
+    return counts.filter((F.col("n") >= 2) & (F.col("n") >= share * total) & (2 * F.col("cut") < F.col("n"))).select("line")
 
 
 def truncated(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
