@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.llm import density_peaks, fixed_sample, grouped_splits, leakage, near_duplicates, packing, split_overlap, term_counts, truncation
+from typeloom.llm import cell_pictures, density_peaks, fixed_sample, grouped_splits, leakage, near_duplicates, packing, split_overlap, term_counts, truncation
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,14 @@ def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density_peaks.described(density_peaks.clusters(spark, table(spark, d, "cell_grids")))
 
 
+def p7_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cell_pictures.cell_clusters(spark, table(spark, d, "cells")).select("cell_id", "cluster_id").distinct()
+
+
+def p7_cell_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cell_pictures.described(cell_pictures.cell_clusters(spark, table(spark, d, "cells")))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(spark, packing.token_counts(table(spark, d, "documents")))
 
@@ -101,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
+    "p7_cells": p7_cells,
+    "p7_cell_clusters": p7_cell_clusters,
     "p10_found": p10_found,
     "p10_report": p10_report,
     "p9_found": p9_found,
