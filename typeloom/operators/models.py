@@ -24,7 +24,8 @@ def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.
     Kept are centres with enough members that aren't near another; if none is, the largest. Too many are cut by
     population. Missing ones are filled with the rest by population and then gap, and at last with noisy copies.
     """
-    d2 = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2)
+    norms = (centres**2).sum(1)
+    d2 = np.maximum(norms[:, None] + norms[None, :] - 2 * centres @ centres.T, 0)
     np.fill_diagonal(d2, np.inf)
     gap = d2.min(1) if len(centres) > 1 else np.full(len(centres), np.inf)
     expected = population.sum() / max(1, len(centres))
@@ -39,13 +40,20 @@ def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.
     return out
 
 
-def vocabulary(spark: SparkSession, points: DataFrame, vector: str, k: int, seed: int = 0, iterations: int = 20) -> DataFrame:
-    """(centroid_id, v): k centroids from over-clustering and pruning, after the all-zero EMPTY centroid of id 0."""
-    data = points.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=math.ceil(OVERSIZE * k), seed=seed, maxIter=iterations).fit(data)
+def vocabulary(spark: SparkSession, points: DataFrame, vector: str, k: int, seed: int = 0, iterations: int = 20, weight: str | None = None) -> DataFrame:
+    """(centroid_id, v): k centroids from over-clustering and pruning, after the all-zero EMPTY centroid of id 0.
+
+    ``weight``: a column with the number of points that a row stands for, in the means as in the populations.
+    """
+    times = (F.col(weight) if weight else F.lit(1)).cast("double").alias("weight")
+    data = points.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), times)
+    data = data.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    first = math.ceil(OVERSIZE * k)
+    few = points.select(vector).distinct().limit(4 * first + 1).count() <= 4 * first  # of few points may come fewer centres, at which Spark's block solver fails
+    model = KMeans(k=first, seed=seed, maxIter=iterations, weightCol="weight", solver="row" if few else "auto").fit(data)
     centres = np.array(model.clusterCenters())
     population = np.zeros(len(centres), np.int64)
-    for r in model.transform(data).groupBy("prediction").agg(F.count("*").alias("n")).collect():  # one row a centre
+    for r in model.transform(data).groupBy("prediction").agg(F.sum("weight").alias("n")).collect():  # one row a centre
         population[r["prediction"]] = r["n"]
     kept = prune(centres, population, k, seed)
     rows = [(0, [0.0] * kept.shape[1])] + [(i + 1, [float(x) for x in v]) for i, v in enumerate(kept)]

@@ -12,6 +12,7 @@ from typeloom.functions import bits, text, vectors
 from typeloom.operators import counts, evaluation, models, nearest
 from typeloom.plans import grid_queries
 
+VOCABULARY, ITERATIONS = 1023, 200  # as in the reference
 EDGES = (0, 40, 45, 50, 55, 60, 1_000_000)
 
 
@@ -110,9 +111,9 @@ def confidence_flags(s: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_vocabulary(s: SparkSession, d: str) -> DataFrame:
-    """A vocabulary of cell pictures; distinct masks stand for their cells."""
-    masks = table(s, d, "cells").filter("mask <> 0").select("mask").distinct().select(bits.unpack(F.col("mask")).alias("v"))
-    return models.vocabulary(s, masks, "v", 32, seed=1, iterations=10)
+    """A vocabulary of 1,023 cell pictures and EMPTY; a mask weighs as many as its distinct cells."""
+    masks = table(s, d, "cells").filter("mask <> 0 AND cell_id IS NOT NULL").select("cell_id", "mask").distinct().groupBy("mask").agg(F.count("*").alias("n"))
+    return models.vocabulary(s, masks.select(bits.unpack(F.col("mask")).alias("v"), "n"), "v", VOCABULARY, seed=1, iterations=ITERATIONS, weight="n")
 
 
 def mlp_predict(s: SparkSession, d: str) -> DataFrame:
