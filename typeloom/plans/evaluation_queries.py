@@ -118,7 +118,7 @@ def kmeans_vocabulary(s: SparkSession, d: str) -> DataFrame:
 
 def mlp_predict(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings")
-    model = models.fit_classifier(e.filter("vec_id % 2 = 0"), "embedding", "label", 32, 10)
+    model = models.fit_classifier(e.filter("label IS NOT NULL"), "embedding", "label", 32, 10)
     from pyspark.ml.functions import array_to_vector
 
     scored = model.transform(e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
