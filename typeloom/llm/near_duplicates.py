@@ -54,11 +54,14 @@ def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
 def duplicate_classes(spark: SparkSession, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(glyph_id, class_id, n_links): one row a glyph; links connect classes of copies, copies aren't spelled out.
 
-    ``class_id`` is the smallest glyph_id of everything that links connect; ``n_links`` counts the other contents that
-    the glyph's content is similar to.
+    A glyph with two different grids joins what both belong to. ``class_id`` is the smallest glyph_id of everything that
+    links connect; ``n_links`` counts the other contents that the glyph's content is similar to.
     """
     stage = Stage(spark, "duplicate-classes")
-    labels = min_label_components(stage, pairs.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")), members.select(F.col("fp").alias("id")))
+    twice = members.groupBy("glyph_id").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v <> most")
+    same = members.join(twice, "glyph_id").select(F.col("fp").alias("u"), "v")
+    edges = pairs.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).unionByName(same)
+    labels = min_label_components(stage, edges, members.select(F.col("fp").alias("id")))
     ends = pairs.select(F.col("fp_a").alias("fp")).unionByName(pairs.select(F.col("fp_b").alias("fp")))
     degree = ends.groupBy("fp").agg(F.count("*").alias("n_links"))
     of = members.groupBy("fp").agg(F.min("glyph_id").alias("first")).join(labels, F.col("fp") == F.col("id"))
