@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ONLY = "typeloom.local.checkpoint"
@@ -51,6 +52,18 @@ def balanced(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def open_shared(path: str) -> pa.Table | None:
+    """The rows of a small Parquet folder below the shared folder, read inside a task; None where there is none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, at = (fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(path)
+    if files.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    parts = sorted(x.path for x in files.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet"))
+    return pa.concat_tables([pq.ParquetFile(files.open_input_file(x)).read() for x in parts]) if parts else None
+
+
 class Stage:
     """The intermediate tables of one query. ``keep`` writes one, ``drop`` removes one that nothing reads any more."""
 
