@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import GRID, valid
-from typeloom.llm import density_peaks, fm_index, lsh, near_duplicates, split_overlap
+from typeloom.llm import density_peaks, fm_index, grids, lsh, near_duplicates, split_overlap
 from typeloom.llm.graph import min_label_components
 from typeloom.storage import Stage
 
@@ -42,9 +42,41 @@ def test_near_duplicates_equal_brute_force(spark, grids_df, similar):
     assert found == want
 
 
-def test_star_edges_are_linear_in_a_hot_bucket(spark):
-    df = spark.createDataFrame([(bytes([i // 256, i % 256]), [7, 8]) for i in range(500)], "fp binary, buckets array<bigint>")
-    assert lsh.star_edges(df).count() == 499
+def _sets(spark, rows):
+    df = spark.createDataFrame([(bytes([0]) * 8 + i.to_bytes(8, "big"), v) for i, v in enumerate(rows)], "fp binary, vals array<bigint>")
+    return df.select(F.xxhash64("fp").alias("id"), "fp", F.size("vals").alias("size"), "vals")
+
+
+def test_stars_are_linear_in_a_hot_bucket(spark):
+    n = 100_000  # one bucket that holds every record
+    entries = spark.range(n).select(F.lit(7).cast("bigint").alias("bucket"), "id", F.lit(9).alias("size"))
+    first = lsh.heads(entries)
+    assert first.count() == lsh.STARS + 2
+    edges = lsh._edges(entries, first.filter(F.col("rank") <= lsh.STARS), 0.7)
+    assert edges.count() == sum(n - 1 - k for k in range(lsh.STARS))
+    assert edges.select("id_a", "id_b").distinct().count() == edges.count()
+
+
+@pytest.mark.parametrize("complete", [True, False])
+def test_crowded_buckets(spark, complete, monkeypatch):
+    """Leaves around a centre that are no more like each other than it is to them, and a family that all links join."""
+    monkeypatch.setattr(lsh, "STARS", 4)
+    rng = random.Random(5)
+    core = [rng.getrandbits(60) for _ in range(30)]
+    rows = [sorted(core + [rng.getrandbits(60) for _ in range(20)]) for _ in range(150)]  # 0.43 alike
+    family = [rng.getrandbits(60) for _ in range(60)]
+    rows += [sorted(family[:i] + family[i + 1 :] + [rng.getrandbits(60)]) for i in range(60)]
+    sets = [frozenset(r) for r in rows]
+    want = {(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) >= 0.7 * len(sets[i] | sets[k])}
+    stage = Stage(spark, "t")
+    classes = stage.keep(_sets(spark, rows), "classes")
+    found = lsh.similar_pairs(stage, classes, "vals", near_duplicates.list_signatures, near_duplicates._measured, 0.7, 64, 4, complete=complete)
+    got = {(int.from_bytes(r.fp_b, "big"), int.from_bytes(r.fp_a, "big")) for r in found.collect()}
+    assert got <= want and len(want) == 60 * 59 // 2
+    label = components(got, range(len(rows)))
+    assert len({label[i] for i in range(150, 210)}) == 1
+    if complete:
+        assert got == want
 
 
 def test_empty_tables(spark):
@@ -88,10 +120,25 @@ def test_density_peaks_equal_brute_force(spark, grid_rows, grids_df):
     want = {(g, c) for g, c in label.items() if sizes[c] >= 3}
     found = density_peaks.clusters(spark, spark.createDataFrame(rows, GRID))
     assert {(r.glyph_id, r.cluster_id) for r in found.collect()} == want
-    described = {r.cluster_id: r for r in density_peaks.described(found).collect()}
-    assert {c: r["size"] for c, r in described.items()} == {c: n for c, n in sizes.items() if n >= 3}
-    for r in described.values():
-        assert r.n_peaks >= 1 and len(r.typical) == 3 and all(label[g] == r.cluster_id for g in r.typical)
+    # peaks, by rho and delta, from the links between pictures
+    copies = {}
+    for g, c in pictures:
+        copies.setdefault(c, []).append(g)
+    pixels = {c: np.unpackbits(np.array(c, np.int64).view(np.uint8)) for c in copies}
+    sim = {(a, b): (pixels[a] & pixels[b]).sum() / (pixels[a] | pixels[b]).sum() for a in copies for b in copies if a != b}
+    rho = {a: len(copies[a]) + sum(len(copies[b]) for b in copies if a != b and sim[a, b] >= 0.7) for a in copies}
+    named = {tuple(r.cells): bytes(r.fp) for r in grids.pictures(spark.createDataFrame(rows, GRID)).distinct().collect()}
+    dense = {a: (rho[a], named[a]) for a in copies}
+    up = {a: max(((sim[a, b], rho[b], named[b], b) for b in copies if a != b and sim[a, b] >= 0.7 and dense[b] > dense[a]), default=None) for a in copies}
+    peaks = {a for a in copies if rho[a] >= 3 and (up[a] is None or 1 - up[a][0] >= density_peaks.DELTA)}
+    top = {a: a for a in copies}
+    for a in copies:
+        while top[a] not in peaks and up[top[a]] is not None:
+            top[a] = up[top[a]][3]
+    want = {(min(copies[p]), len({g for a in copies if top[a] == p for g in copies[a]}), rho[p]) for p in peaks}
+    described = density_peaks.described(found).collect()
+    assert {(r.peak_id, r["size"], r.rho) for r in described} == want and len(described) == len(want)
+    assert all(label[g] == r.cluster_id for r in described for g in r.typical) and len({r.cluster_id for r in described}) == len({c for _, c in {(g, c) for g, c in label.items() if sizes[c] >= 3}})
 
 
 def test_fm_index_matches(spark):
@@ -112,14 +159,47 @@ def test_fm_index_matches(spark):
         assert {int(x) for x in fm.doc[lo[0] : hi[0]]} == want
     queries = [sorted(set(d[: rng.randint(1, len(d))] + rng.sample(range(200, 300), rng.randint(0, 5)))) for d in docs]
     qflat, qoff = np.array([x for q in queries for x in q], np.int64), np.cumsum([0] + [len(q) for q in queries])
-    q, doc, matched, longest = fm.maximal_matches(qflat, qoff, 0.7)
-    got = set(zip(q.tolist(), doc.tolist()))
-    for i, a in enumerate(queries):
-        for k, b in enumerate(docs):
-            common = len(set(a) & set(b))
-            if common >= 0.7 * len(set(a) | set(b)):
-                assert (i, k) in got
-    assert all(1 <= x <= m for m, x in zip(matched, longest))
+    for share in (0.3, 0.7, 1.0):
+        q, doc, spans, matched, longest, _ = fm.matches(qflat, qoff, share)
+        got = {(i, k): x for i, k, *x in zip(*(x.tolist() for x in (q, doc, spans, matched, longest)))}
+        want = {}
+        for i, a in enumerate(queries):
+            x = sorted(int(v) for v in fm.symbols(np.array(a)))
+            for k, b in enumerate(docs):
+                y = sorted(int(v) for v in fm.symbols(np.array(b)))
+                if len(set(a) & set(b)) >= share * len(set(a) | set(b)):
+                    runs, last = [], None
+                    for v in sorted(set(x) & set(y)):
+                        here = (x.index(v), y.index(v))
+                        if last is not None and here == (last[0] + 1, last[1] + 1):
+                            runs[-1] += 1
+                        else:
+                            runs.append(1)
+                        last = here
+                    want[i, k] = [len(runs), sum(runs), max(runs)]
+        assert got == want
+
+
+def test_maximal_spans_equal_brute_force():
+    rng = random.Random(8)
+    base = rng.sample(range(400), 60)
+    docs = [sorted(rng.sample(base, rng.randint(5, 50))) for _ in range(40)]
+    fm = fm_index.FMIndex.build(np.array([x for d in docs for x in d], np.int64), np.cumsum([0] + [len(d) for d in docs]))
+    texts = [sorted(int(v) for v in fm.symbols(np.array(d))) for d in docs]
+    for query in [*texts[:10], [0, 0, *texts[0]]]:
+        q, doc, at, spot, length = fm.maximal_spans(np.array(query), np.array([0]), np.array([len(query)]), np.array([2]))
+        got = set(zip(doc.tolist(), at.tolist(), spot.tolist(), length.tolist()))
+        want = set()
+        for k, t in enumerate(texts):
+            for i in range(len(query)):
+                for j in range(len(t)):
+                    if query[i] == t[j] and query[i] and not (i and j and query[i - 1] == t[j - 1]):
+                        n = 0
+                        while i + n < len(query) and j + n < len(t) and query[i + n] == t[j + n]:
+                            n += 1
+                        if n >= 2:
+                            want.add((k, i, j, n))
+        assert got == want and len(doc) == len(want)
 
 
 @pytest.mark.parametrize("shard", [3, 32_768])
@@ -131,12 +211,17 @@ def test_overlaps_equal_brute_force(spark, grids_df, grid_rows, similar, shard,
     names = [" Train", "training", "VAL ", "validation", "test", None, "other", "\tTEST"]
     rows = [(i, rng.choice(ids), rng.choice(names), rng.choice(["a", None]), "clash") for i in range(150)] + [(None, ids[0], "train", "a", "c"), (900, None, "test", "a", "c"), (901, 5555, "test", "a", "c"), (902, 5555, "train", "a", "c")]
     kind = {i: (s or "").strip().lower()[:3] for i, _, s, _, _ in rows}
+    counting = {g for g, _ in valid(grid_rows)}
     good = [(i, g) for i, g, s, _, _ in rows if i is not None and g is not None and kind[i] in ("tra", "val", "tes")]
-    want = {(t, e) for t, g in good for e, h in good if kind[t] == "tra" and kind[e] != "tra" and (g == h or (min(g, h), max(g, h)) in similar)}
+    want = {(t, e) for t, g in good for e, h in good if kind[t] == "tra" and kind[e] != "tra" and ((g == h and g in counting) or (min(g, h), max(g, h)) in similar)}
     samples = spark.createDataFrame(rows, "sample_id long, glyph_id long, split string, source string, fp string")
     found = split_overlap.overlaps(spark, samples, grids_df)
     got = found.collect()
     assert {(r.train_id, r.eval_id) for r in got} == want and len(got) == len(want)
-    assert (902, 901) in want and all((r.kind == "glyph") == (dict(good)[r.train_id] == dict(good)[r.eval_id]) for r in got)
-    report = split_overlap.report(samples, found)
+    assert (902, 901) not in want and any(r.kind == "glyph" for r in got) and all((r.kind == "glyph") == (dict(good)[r.train_id] == dict(good)[r.eval_id]) for r in got)
+    report = split_overlap.report(spark, samples, grids_df)
     assert report.agg(F.sum("n_pairs")).first()[0] == len(want)
+    values = {g: frozenset(c) - {0} for g, c in valid(grid_rows)}
+    assert report.agg(F.sum("n_values")).first()[0] == sum(len(values[dict(good)[t]] & values[dict(good)[e]]) for t, e in want)
+    spans = split_overlap.span_report(spark, samples, grids_df).collect()
+    assert spans and all(r.n_values == len(values[r.glyph_t] & values[r.glyph_e]) and 1 <= r.longest <= r.n_values and r.n_spans <= r.n_values for r in spans)

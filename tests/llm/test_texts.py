@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from typeloom.llm import leakage, truncation
@@ -32,10 +34,11 @@ def found(item, text):
     return sure, maybe
 
 
-@pytest.mark.parametrize("at_once", [2, 512])
+@pytest.mark.parametrize("at_once", [100, 16_384])
 def test_leaks_equal_brute_force(spark, at_once, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", at_once)
-    monkeypatch.setattr(leakage, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(leakage, "SHARD_WORDS", at_once)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(leakage, "_ENTRIES", 10_000)
     rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(120)]
     draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -67,6 +70,18 @@ def test_leaks_equal_brute_force(spark, at_once, monkeypatch):
     assert report[90] == 0 and report[0] == sum(i == 0 for _, i in got)
 
 
+def test_a_long_item_widens_nothing_for_the_others():
+    rng = random.Random(2)
+    codes = [np.array([rng.randrange(5000) for _ in range(n)]) for n in [60] * 200 + [5000]]
+    rows = pa.table({"item_id": list(range(201)), "codes": codes, "dfs": codes})
+    groups = leakage.groups_of(rows)
+    assert max(x.masks.nbytes for g in groups if len(g.ids) > 1 for x in g.items) <= 61 * 8
+    assert sum(x.masks.nbytes for g in groups for x in g.items) < 4_000_000
+    text = np.concatenate([np.full(70, -1), codes[3][:31], codes[200], np.full(9, -1)])
+    found = {(int(d), int(g.ids[k])) for g in groups for docs, k, _, _ in g.search(text, np.array([0, len(text)])) for d in docs}
+    assert found == {(0, 3), (0, 200)}
+
+
 def sentences(rng, n):
     return " ".join("The " + " ".join(rng.choice(["contour", "grid", "stem", "holds", "every", "narrow"]) for _ in range(rng.randint(4, 9))) + "." for _ in range(n))
 

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import lsh
 from typeloom.llm.graph import min_label_components
-from typeloom.llm.grids import value_classes
+from typeloom.llm.grids import folded, value_sets
 from typeloom.storage import Stage
 
 THRESHOLD = 0.7
 BANDS, ROWS = 64, 4  # a pair at 0.7 shares no bucket with probability 2e-8
-NEAR = 0.3
 SEED = 20240108
 
 
-def list_signatures(column: pa.Array) -> np.ndarray:
+def list_signatures(column: pa.Array, level: int = 0) -> np.ndarray:
+    """64 bands of 4 for the first buckets; a split needs no more than its own bands."""
     offsets = column.offsets.to_numpy()
-    return lsh.set_signatures(column.flatten().to_numpy(), offsets - offsets[0], BANDS * ROWS, SEED)
+    bins = BANDS * ROWS if level == 0 else lsh.SPLIT * lsh.SPLIT_ROWS
+    return lsh.set_signatures(column.flatten().to_numpy(), offsets - offsets[0], bins, SEED + 1009 * level)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -28,6 +29,10 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _measured(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id_a", "id_b", "fp_a", "fp_b", jaccard(F.col("pa"), F.col("pb")).alias("sim"))
+
+
 def near_duplicates(spark: SparkSession, cell_grids: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``members(glyph_id, fp)`` and ``pairs(fp_a, fp_b, sim)`` between the classes of exactly equal value sets.
 
@@ -36,9 +41,10 @@ def near_duplicates(spark: SparkSession, cell_grids: DataFrame, threshold: float
     play no part. Columns beside ``glyph_id`` and ``cells`` are ignored. An empty table gives empty results.
     """
     stage = Stage(spark, "near-duplicates")
-    members, classes = value_classes(cell_grids)
-    members, classes = stage.keep(members, "members"), stage.keep(classes, "classes")
-    pairs = lsh.similar_pairs(stage, classes, "vals", list_signatures, jaccard, threshold, BANDS, ROWS, min(NEAR, threshold))
+    named = stage.keep(value_sets(cell_grids), "sets")
+    members, classes = folded(named, "vals")
+    classes = stage.keep(classes.select(F.xxhash64("fp").alias("id"), "fp", F.size("vals").alias("size"), "vals"), "classes")
+    pairs = lsh.similar_pairs(stage, classes, "vals", list_signatures, _measured, threshold, BANDS, ROWS)
     return members, stage.keep(pairs, "pairs")
 
 

@@ -28,8 +28,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    samples = table(spark, d, "samples")
-    return split_overlap.report(samples, split_overlap.overlaps(spark, samples, table(spark, d, "cell_grids")))
+    return split_overlap.report(spark, table(spark, d, "samples"), table(spark, d, "cell_grids"))
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.span_report(spark, table(spark, d, "samples"), table(spark, d, "cell_grids"))
 
 
 SAMPLE_SIZE = 1000
@@ -102,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_spans": p3_spans,
     "p4_sample": p4_sample,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
@@ -136,10 +140,21 @@ _P3 = f"""{_P2_PAIRS},
         SELECT sample_id, glyph_id, source, CASE WHEN regexp_matches(lower(split), '^\\s*train') THEN 'train' WHEN regexp_matches(lower(split), '^\\s*val') THEN 'val'
             WHEN regexp_matches(lower(split), '^\\s*test') THEN 'test' END AS split
         FROM samples),
-    alike AS (SELECT glyph_a AS g, glyph_b AS h FROM p2 UNION SELECT glyph_b, glyph_a FROM p2 UNION SELECT glyph_id, glyph_id FROM s WHERE glyph_id IS NOT NULL),
+    alike AS (SELECT glyph_a AS g, glyph_b AS h FROM p2 UNION SELECT glyph_b, glyph_a FROM p2 UNION SELECT glyph_id, glyph_id FROM sets),
     p3 AS (SELECT DISTINCT t.sample_id AS t_id, e.sample_id AS e_id, e.split, e.source, t.glyph_id AS tg, e.glyph_id AS eg
         FROM s t JOIN alike ON alike.g = t.glyph_id JOIN s e ON e.glyph_id = alike.h WHERE t.split = 'train' AND e.split <> 'train')"""
 
+# sizes rule most pairs out before their pixels are counted
+_P7 = f"""
+    pics AS (SELECT DISTINCT glyph_id, cells FROM cell_grids WHERE {_VALID} AND glyph_id IS NOT NULL),
+    u AS (SELECT cells, row_number() OVER (ORDER BY min(glyph_id)) AS pic, min(glyph_id) AS g, count(*) AS copies, list_sum(list_transform(cells, lambda x: bit_count(x)))::BIGINT AS on_ FROM pics GROUP BY cells),
+    alike AS (SELECT a.pic AS p, b.pic AS q, a.on_ + b.on_ AS two, list_sum(list_transform(list_zip(a.cells, b.cells), lambda x: bit_count(x[1] & x[2])))::BIGINT AS common
+        FROM u a JOIN u b ON a.pic < b.pic AND a.on_ >= 0.7::DOUBLE * b.on_ AND b.on_ >= 0.7::DOUBLE * a.on_),
+    links AS (SELECT p, q, common::DOUBLE / (two - common) AS sim FROM alike WHERE common::DOUBLE / (two - common) >= 0.7::DOUBLE),
+    named AS (SELECT glyph_id, pic FROM pics JOIN u USING (cells)),
+    ends AS (SELECT p, q, sim FROM links UNION ALL SELECT q, p, sim FROM links),
+    joined AS (SELECT p, q FROM ends UNION SELECT a.pic, b.pic FROM named a JOIN named b ON a.glyph_id = b.glyph_id AND a.pic <> b.pic)"""
+
 _P5 = """
     places AS (SELECT DISTINCT cell_id, glyph_id, primitive_id FROM cells WHERE primitive_id NOT IN (-1, 65535) AND cell_id IS NOT NULL),
     n AS (SELECT count(DISTINCT glyph_id) AS n FROM places),
@@ -172,14 +187,23 @@ ORACLE: dict[str, str] = {
     "p3_found": f"WITH {_P3} SELECT DISTINCT least(t_id, e_id) AS sample_a, greatest(t_id, e_id) AS sample_b FROM p3",
     "p3_report": f"""
     WITH {_P3},
-    per AS (SELECT e_id, count(*) AS pairs, bool_or(tg = eg OR exists(SELECT 1 FROM sets x JOIN sets y ON x.vals = y.vals WHERE x.glyph_id = tg AND y.glyph_id = eg)) AS exact FROM p3 GROUP BY e_id)
-    SELECT split, source, count(*) AS n_samples, count(pairs) AS n_leaked, count(*) FILTER (WHERE exact) AS n_exact, coalesce(sum(pairs), 0)::BIGINT AS n_pairs
+    common AS (SELECT a.glyph_id AS tg, b.glyph_id AS eg, max(len(list_intersect(a.vals, b.vals))) AS n, bool_or(a.vals = b.vals) AS same
+        FROM (SELECT DISTINCT tg, eg FROM p3) x JOIN sets a ON a.glyph_id = x.tg JOIN sets b ON b.glyph_id = x.eg GROUP BY 1, 2),
+    per AS (SELECT e_id, count(*) AS pairs, bool_or(same) AS exact, sum(n) AS n FROM p3 JOIN common USING (tg, eg) GROUP BY e_id)
+    SELECT split, source, count(*) AS n_samples, count(pairs) AS n_leaked, count(*) FILTER (WHERE exact) AS n_exact, coalesce(sum(pairs), 0)::BIGINT AS n_pairs, coalesce(sum(n), 0)::BIGINT AS n_values
     FROM s LEFT JOIN per ON per.e_id = s.sample_id WHERE split <> 'train' GROUP BY split, source""",
     "p4_sample": """
     SELECT row_number() OVER (ORDER BY md5('7:' || cell_id), cell_id) AS position, cell_id FROM (SELECT DISTINCT cell_id FROM cells WHERE mask <> 0 AND cell_id IS NOT NULL)
     ORDER BY position LIMIT 1000""",
     "p5_found": f"WITH {_P5} SELECT primitive_id, mark FROM p5 WHERE mark IS NOT NULL",
     "p5_counts": f"WITH {_P5} SELECT * FROM p5",
+    "p7_found": f"""
+    WITH RECURSIVE {_P7},
+    reach AS (SELECT p, q FROM joined UNION SELECT r.p, j.q FROM reach r JOIN joined j ON r.q = j.p),
+    label AS (SELECT pic, least(pic, coalesce(min(q), pic)) AS label FROM u LEFT JOIN reach ON p = pic GROUP BY pic),
+    placed AS (SELECT DISTINCT glyph_id, label FROM named JOIN label USING (pic)),
+    sizes AS (SELECT label, min(glyph_id) AS cluster_id FROM placed GROUP BY label HAVING count(DISTINCT glyph_id) >= 3)
+    SELECT DISTINCT glyph_id, cluster_id FROM placed JOIN sizes USING (label)""",
     "p6_found": f"""
     WITH RECURSIVE {_P6}
     SELECT DISTINCT record_id, coalesce(a.label, b.label) AS group_font FROM named LEFT JOIN of_font a ON a.f = named.f LEFT JOIN of_glyph b ON b.g = named.g
