@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from typeloom.operators import compaction, counts, evaluation, grids, models, nearest, quality, series, splits
+from typeloom.operators import compaction, counts, evaluation, grids, models, nearest, outlines, quality, series, splits
 
 
 def rows(df):
@@ -161,16 +161,94 @@ def test_consolidation_holds_every_record_once(spark, tmp_path):
     files = [(1, "dataset/grids/1.u16", b"a" * 512, t, "x"), (2, "dataset//grids/1.u16", b"a" * 512, t, "x"), (3, "dataset/grids/1.npy", b"h" * 128 + b"a" * 512, t, "x"), (4, "dataset/grids/2.npy", b"h" * 128 + b"b" * 512, t, "x")]
     files += [(5, "dataset/grids/3.u16", b"", t, "x"), (6, "dataset/grids/4.u16", None, None, None), (7, None, b"z" * 512, t, "x"), (8, "dataset/grids/5.u16", b"c" * 640, t, "x")]
     checks = [(1, 1, False, True, "r/a_1.png", "g", 5, 5, t), (2, None, True, True, "r\\a_1.png ", "g", 5, 5, datetime(2024, 2, 1)), (3, 2, True, True, "r/b_2.png", "g", 0, 5, t), (4, 3, None, True, "r/b_3.png", "g", 5, 5, t), (5, 4, True, True, None, None, 5, 5, t)]
-    records = compaction.gathered(spark.createDataFrame(files, FILES), spark.createDataFrame(checks, CHECKS))
-    done = compaction.consolidate(spark, records, str(tmp_path / "out"), target=1024)
+    out = str(tmp_path / "out")
+    grids, rasters = spark.createDataFrame(files, FILES), spark.createDataFrame(checks, CHECKS)
+    done = compaction.consolidate(spark, compaction.stored_manifest(grids, rasters), compaction.stored_contents(grids), out, target=1024)
     got = {(r.glyph_id, r.content_kind): (bytes(r.payload) if r.payload else None) for r in done.collect()}
-    assert got == {(1, "grid"): b"a" * 512, (2, "grid"): b"b" * 512, (1, "raster"): None}
-    assert compaction.file_summary(done).agg(F.sum("n_records"), F.max("bytes")).first()[:] == (3, 1024)
-    none = compaction.consolidate(spark, records.limit(0), str(tmp_path / "none"))
-    assert none.count() == 0
+    want = {(1, "grid"): b"a" * 512, (2, "grid"): b"b" * 512, (1, "raster"): None}
+    assert got == want
+    summary = compaction.file_summary(done)
+    assert summary.agg(F.sum("n_records"), F.sum("bytes"), F.count("*")).first()[:] == (3, 1024 + len("r/a_1.png"), 2)
+    assert compaction.file_checks(summary, 1024).first()[4:] == (0, False)
+    first = compaction.current_version(spark, out)
+    # a second run: readers see each record once, and the first version can go
+    compaction.consolidate(spark, compaction.stored_manifest(grids, rasters), compaction.stored_contents(grids), out, target=1024)
+    assert compaction.current_version(spark, out) != first and compaction.current(spark, out).count() == 3
+    assert compaction.remove_old(spark, out) == 1 and compaction.current(spark, out).count() == 3
+    # a file that arrives after the listing waits; one that was listed and has gone stops the commit
+    later = spark.createDataFrame([*files, (9, "dataset/grids/9.u16", b"n" * 512, t, "x"), (10, "dataset/grids/1.u16", b"N" * 512, datetime(2025, 1, 1), "x")], FILES)
+    again = compaction.consolidate(spark, compaction.stored_manifest(grids, rasters), compaction.stored_contents(later), out)
+    assert {(r.glyph_id, r.content_kind): (bytes(r.payload) if r.payload else None) for r in again.collect()} == want
+    version = compaction.current_version(spark, out)
+    with pytest.raises(RuntimeError):
+        compaction.consolidate(spark, compaction.stored_manifest(later, rasters), compaction.stored_contents(grids), out)
+    assert compaction.current_version(spark, out) == version
+    none = compaction.consolidate(spark, compaction.stored_manifest(grids.limit(0), rasters.limit(0)), compaction.stored_contents(grids), str(tmp_path / "none"))
+    assert none.count() == 0 == compaction.current(spark, str(tmp_path / "none")).count()
 
 
 def test_consolidation_refuses_doubled_records(spark, tmp_path):
-    two = spark.createDataFrame([(1, "grid", "p", b"x", 1), (1, "grid", "q", b"x", 1)], "glyph_id long, content_kind string, path string, payload binary, size long")
+    two = spark.createDataFrame([(1, "raster", "p", None, 1, 1), (1, "raster", "q", None, 1, 1)], compaction.MANIFEST)
     with pytest.raises(ValueError):
-        compaction.consolidate(spark, two, str(tmp_path / "out"))
+        compaction.consolidate(spark, two, compaction.stored_contents(spark.createDataFrame([], FILES)), str(tmp_path / "out"))
+
+
+def test_running_totals_and_medians(spark):
+    rng = np.random.default_rng(3)
+    values = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 40, 301 if g == "a" else 40)]
+    df = spark.createDataFrame(values, "g string, v double")
+    got = {r.g: r.median for r in counts.medians(df, "g", "v").collect()}
+    assert got == {g: float(np.median([v for h, v in values if h == g])) for g in ("a", "b", None)}
+    assert counts.medians(df.limit(0), "g", "v").count() == 0
+
+
+def test_centroids_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "POINTS", 11)
+    rng = np.random.default_rng(4)
+    c, x = rng.integers(0, 3, (40, 5)).astype(float), rng.integers(0, 3, (60, 5)).astype(float)
+    cents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "centroid_id long, v array<double>")
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d2 = ((x[:, None] - c[None]) ** 2).sum(2)
+    assert {(r.id, r.centroid_id, r.d2) for r in nearest.nearest_centroid(points, "id", "v", cents).collect()} == {(i, int(d.argmin()), d.min()) for i, d in enumerate(d2)}
+    assert {r.id: list(r.d2) for r in nearest.centroid_distances(points, "id", "v", cents).collect()} == {i: d.tolist() for i, d in enumerate(d2)}
+    own = ((c[:, None] - c[None]) ** 2).sum(2)
+    np.fill_diagonal(own, np.inf)
+    got = {(r.centroid_id, r.nearest_id, r.d2, r.close) for r in nearest.neighbours(cents, 2.0).collect()}
+    assert got == {(i, int(d.argmin()), d.min(), int((d <= 2).sum())) for i, d in enumerate(own)}
+
+
+def test_cell_and_picture_scoring(spark):
+    rng = np.random.default_rng(5)
+    centroids = np.vstack([np.zeros(64), rng.random((9, 64))])
+    masks = [0, -1, 1, 5, *[int(x) for x in rng.integers(-(2**62), 2**62, 20)]]
+    df = spark.createDataFrame([(i, m, [None, 3, 99, -1][i % 4]) for i, m in enumerate(masks)] + [(99, None, 1)], "cell_id long, mask long, p int")
+    bits_of = lambda m: np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little").astype(float)
+    for r in models.cell_scores(df, "cell_id", "mask", models.centroid_network(centroids), centroids, "p").collect():
+        d = np.sqrt(((bits_of(masks[r.cell_id]) - centroids) ** 2).sum(1))
+        assert r.pred == d.argmin() and abs(r.d_pred - d.min()) < 1e-9 and 0 < r.conf <= 1
+        assert (r.d_assigned is None) == (r.cell_id % 4 != 1) and (r.d_assigned is None or abs(r.d_assigned - d[3]) < 1e-9)
+    px = np.zeros((128, 128), np.uint8)
+    px[8:16, 16:24] = np.round(centroids[4].reshape(8, 8) * 255)
+    px[127, 127] = 3
+    always = lambda x: np.eye(10)[np.full(len(x), 7)]
+    pictures = spark.createDataFrame([(1, bytearray(px.tobytes())), (2, None)], "id long, px binary")
+    grid = models.picture_grids(pictures, "id", models.centroid_network(centroids)).first().grid
+    assert grid[16 + 2] == 4 and sum(x != 0 for x in grid) == 1
+    assert [i for i, x in enumerate(models.picture_grids(pictures, "id", always).first().grid) if x] == [18, 255]
+    assert [i for i, x in enumerate(models.picture_grids(pictures, "id", always, least_ink=0.5).first().grid) if x] == [18]
+    with pytest.raises(Exception, match="pixels"):
+        models.picture_grids(spark.createDataFrame([(1, bytearray(9))], "id long, px binary"), "id", always).collect()
+
+
+def test_binarise_rules():
+    cells = np.array([[0, 1, 127, 128, 255, 200], [0, 0, 0, 0, 0, 90]], np.uint8)
+    on = {rule: outlines.set_pixels(cells, rule).astype(int).tolist() for rule in outlines.BINARISE}
+    assert on["at_128"] == [[0, 0, 0, 1, 1, 1], [0] * 6] == on["half"] and on["above_0"] == [[0, 1, 1, 1, 1, 1], [0, 0, 0, 0, 0, 1]]
+    assert on["unless_binary"] == [[0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 0, 1]]
+
+
+def test_schedules(spark):
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate([5.0, 4.0, 4.0, 4.5, 4.0, 3.0])], "run string, epoch int, loss double")
+    assert series.early_stop(df, "run", "epoch", "loss", 0.1, 2, mode="min").first()[:] == ("r", 4.0, 3)
+    assert series.plateau_rates(df, "run", "epoch", "loss", 1.0, 0.5, 1).first().rates == [1.0, 1.0, 1.0, 0.5, 0.5, 0.5]

@@ -100,3 +100,42 @@ def test_stream(spark, tmp_path):
     ink = ingest.ink_by_window(stream).writeStream.format("memory").queryName("ink").outputMode("complete").trigger(availableNow=True).start()
     ink.awaitTermination(120)
     assert spark.sql("SELECT sum(cells), sum(filled) FROM ink").first()[:] == (20, 10)
+
+
+def test_cell_stores_and_packed_grids(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    cells = (rng.random((9, 8, 8)) < 0.4).astype(np.uint8)
+    want = dict(enumerate(np.packbits(cells.reshape(9, 64), axis=1, bitorder="little").view(np.int64).ravel().tolist()))
+    read = lambda: {r.row_id: r["mask"] for r in files.cell_store(spark, str(tmp_path)).collect()}
+    with pytest.raises(FileNotFoundError):
+        read()
+    np.save(tmp_path / "cells_bitpack_shard_000.npy", np.array(list(want.values())[:5], np.int64).view(np.uint64))
+    np.save(tmp_path / "cells_bitpack_shard_001.npy", np.array(list(want.values())[5:], np.int64).view(np.uint64))
+    assert read() == want
+    np.save(tmp_path / "shard_00000.npy", cells[:2, None])
+    assert read() == {0: want[0], 1: want[1]}
+    np.save(tmp_path / "cells.npy", cells[3:4] * 255)
+    assert read() == {0: want[3]}
+    grids = rng.integers(0, 1024, (3, 256)).astype("<u2")
+    grids.tofile(tmp_path / "grids.bin")
+    np.save(tmp_path / "ids.npy", np.array([7, 5, 9]))
+    got = files.packed_grids(spark, str(tmp_path / "grids.bin"), str(tmp_path / "ids.npy"))
+    assert {r.glyph_id: list(r.grid) for r in got.collect()} == {i: g.tolist() for i, g in zip((7, 5, 9), grids)}
+    np.save(tmp_path / "ids.npy", np.array([7, 5]))
+    with pytest.raises(ValueError):
+        files.packed_grids(spark, str(tmp_path / "grids.bin"), str(tmp_path / "ids.npy"))
+
+
+def test_last_assignment_wins(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("cell_id,primitive_id\n1,5\n2,6\n1,7\nx,3\n2,-1\n3,\n")
+    assert sorted(tuple(r) for r in files.assignments(spark, str(tmp_path / "a.csv"), "csv").collect()) == [(1, 7)]
+
+
+def test_ids_and_weights(spark, tmp_path):
+    rows = spark.createDataFrame([("a_1.png",), ("b_x_22.png",), ("3.png",), (None,)], "f string")
+    ids = spark.createDataFrame([(22,), (3,), (None,)], "i long")
+    assert [r.f for r in files.of_ids(rows, "f", ids).collect()] == ["b_x_22.png"] and files.of_ids(rows, "f", ids.limit(0)).count() == 4
+    arrays = {"w": np.arange(6.0).reshape(2, 3), "b": np.zeros(2)}
+    sinks.weights(spark, arrays, str(tmp_path / "m"))
+    again = files.weights(spark, str(tmp_path / "m"))
+    assert again.keys() == arrays.keys() and all((again[k] == arrays[k]).all() for k in arrays)

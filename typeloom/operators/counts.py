@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typeloom.operators.ordering import ranked
+from typeloom.operators.ordering import ranked, running_total
 
 POPULATION_EDGES = (0, 10, 100, 1_000, 10_000, 100_000, 1_000_000_000)
 CLASS_EDGES = (0, 1, 2, 5, 10, 20, 50, 100, 1_000_000)
@@ -39,23 +39,40 @@ def top_frequencies(rows: DataFrame, value: str, k: int) -> DataFrame:
     return rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
 
 
-def class_weights(rows: DataFrame, label: str, alpha: float = 0.5) -> DataFrame:
-    """(label, n, weight): (N/(n+1))^alpha, scaled to a mean of 1 over the labels seen."""
+def class_weights(rows: DataFrame, label: str, alpha: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
+    """(label, n, weight): (N/(n+1))^alpha, scaled to a mean of 1 over the labels seen; 0 for those of ``labels`` never seen."""
     counts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    if labels is not None:
+        seen = class_weights(rows, label, alpha)
+        return labels.select(label).distinct().join(seen, label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
     every = Window.partitionBy()
     raw = counts.withColumn("w", F.pow(F.sum("n").over(every) / (F.col("n") + 1.0), F.lit(alpha)))
     return raw.select(label, "n", F.round(F.col("w") / F.avg("w").over(every), 9).alias("weight"))
 
 
+def _counted(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, k, upto, n): each distinct value's count, the rows up to it, and the rows of the group."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
+    ran = running_total(counts, group, value, "k")
+    sizes = ran.groupBy(group).agg(F.sum("k").alias("n")).withColumnRenamed(group, "__group")
+    return ran.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): the middle value, or the mean of the two middle ones; no group's values are gathered in one task."""
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    at = lambda place: F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("k")), F.col(value)))
+    return _counted(rows, group, value).groupBy(group).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def order_statistics(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, low, high, mean, p50, p90, p95) with the elements at n//2, floor(.9n)-1 and floor(.95n)-1 of the sorted values.
 
     A position of -1 wraps to the last element. The positions are found by counting: values are counted first, and
-    running counts over the distinct values of a group show which one stands at a position, so no group is collected.
+    running counts over the distinct values of a group, in ranges, show which one stands at a position, so no group is
+    collected.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ran = counts.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(group)))
+    ran = _counted(rows, group, value)
 
     def at(position: Column) -> Column:
         place = F.when(position < 0, F.col("n") - 1).otherwise(position)

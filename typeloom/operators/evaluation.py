@@ -72,10 +72,15 @@ def coverage(scores: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("x")).select("x.bin", "x.classes")
 
 
-def head_tail(scores: DataFrame) -> DataFrame:
-    """Mean accuracy and support of the commonest and the rarest tenth of the classes, and of the rare ones with a hit."""
-    true = scores.filter("support > 0")
-    ranked = true.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support"), "label"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+def head_tail(scores: DataFrame, trained: DataFrame) -> DataFrame:
+    """Mean accuracy and support of the classes that are commonest and rarest in training, and of the rare ones with a hit.
+
+    ``trained(label, n)`` are the training frequencies; a tenth of the classes is head, a tenth tail. Classes without support
+    don't count; those that training never saw are the rarest.
+    """
+    true = scores.filter("support > 0").join(trained.select("label", F.col("n").alias("seen")), "label", "left")
+    order = Window.orderBy(F.desc(F.coalesce("seen", F.lit(0))), "label")  # one row a class
+    ranked = true.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy()))
     decile = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     head, tail = F.col("rank") <= decile, F.col("rank") > F.col("n") - decile
     mean = lambda c, x: F.round(F.avg(F.when(c, F.col(x))), 9)

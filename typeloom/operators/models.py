@@ -22,7 +22,7 @@ def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.
     """Exactly k of the over-clustered centres, all of them small arrays on the driver.
 
     Kept are centres with enough members that aren't near another; if none is, the largest. Too many are cut by
-    population. Missing ones are filled with the rest by population and then gap, and at last with noisy copies.
+    population. Missing ones are filled with the rest of those that have members, by population and then gap, and at last with noisy copies.
     """
     norms = (centres**2).sum(1)
     d2 = np.maximum(norms[:, None] + norms[None, :] - 2 * centres @ centres.T, 0)
@@ -32,7 +32,7 @@ def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.
     good = (population >= max(LEAST_COUNT, math.floor(LEAST_SHARE * expected))) & (gap > LEAST_GAP)
     ranked = lambda idx: sorted(idx, key=lambda i: (-population[i], -gap[i], i))
     kept = ranked(np.nonzero(good)[0])[:k] if good.any() else ranked(range(len(centres)))[:k]
-    kept += [i for i in ranked(range(len(centres))) if i not in set(kept)][: k - len(kept)]
+    kept += [i for i in ranked(np.nonzero(population > 0)[0]) if i not in set(kept)][: k - len(kept)]
     out = centres[kept]
     rng = np.random.default_rng(seed)
     while len(out) < k:
@@ -89,6 +89,64 @@ def scored(rows: DataFrame, key: str, vector: str, forward: Callable[[np.ndarray
     return rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"`{key}` {kind}, pred bigint, conf double, second double")
 
 
+def cell_scores(cells: DataFrame, key: str, mask: str, forward: Callable[[np.ndarray], np.ndarray], centroids: np.ndarray, assigned: str | None = None, batch: int = 4096) -> DataFrame:
+    """(key, pred, conf, d_pred, d_assigned): a cell model's choice for each 64-pixel mask, and how far the cell's pixels lie from
+    the centroid of that choice and of the ``assigned`` one.
+
+    Distances are null beyond the ``centroids`` (one row a primitive, EMPTY at 0) and for a null or negative assignment. Masks
+    travel as 8 bytes and are unpacked in the task. Rows with a null mask are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                masks = part.column(1).to_numpy()
+                x = np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+                z = forward(x)
+                p = np.exp(z - z.max(1, keepdims=True))
+                best = p.argmax(1)
+                far = lambda ids: pa.array(np.sqrt(((x - centroids[np.clip(ids, 0, len(centroids) - 1)]) ** 2).sum(1)), mask=(ids < 0) | (ids >= len(centroids)))  # noqa: B023, E731
+                own = part.column(2).fill_null(-1).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int64)), pa.array(p.max(1) / p.sum(1)), far(best), far(own)], [key, "pred", "conf", "d_pred", "d_assigned"])
+
+    rows = cells.filter(F.col(mask).isNotNull()).select(key, F.col(mask).cast("bigint"), (F.col(assigned) if assigned else F.lit(None)).cast("bigint").alias("assigned"))
+    return rows.mapInArrow(run, f"`{key}` {dict(cells.dtypes)[key]}, pred bigint, conf double, d_pred double, d_assigned double")
+
+
+def picture_grids(pictures: DataFrame, key: str, forward: Callable[[np.ndarray], np.ndarray], side: int = 128, least_ink: float = 0.0) -> DataFrame:
+    """(key, grid array<int>): raster to token grid in one step; each 8x8 patch of ``px`` goes through a cell model.
+
+    Patches without a set pixel, or with no more than ``least_ink`` of scaled grey in all, are 0, whatever the model says.
+    Pictures of another size raise; null ones are left out. The model sees grey values scaled to 0..1.
+    """
+    n = side // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                raw = part.column(1).to_pylist()
+                if wrong := [len(px) for px in raw if len(px) != side * side]:
+                    raise ValueError(f"a picture has {wrong[0]} pixels instead of {side * side}")
+                patches = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), n, 8, n, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 64)
+                grey = patches / 255.0 if patches.max(initial=0) > 1 else patches.astype(np.float64)
+                tokens = np.zeros(len(patches), np.int32)
+                inked = (patches.max(1) > 0) & ((least_ink <= 0) | (grey.sum(1) > least_ink))
+                if inked.any():
+                    tokens[inked] = forward(grey[inked]).argmax(1)
+                offsets = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * n * n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(tokens))], [key, "grid"])
+
+    return pictures.filter(F.col("px").isNotNull()).select(key, "px").mapInArrow(run, f"`{key}` {dict(pictures.dtypes)[key]}, grid array<int>")
+
+
+def centroid_network(centroids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The simplest cell model: the logit of a primitive is its centroid's negative squared distance."""
+    norms = (centroids**2).sum(1)
+    return lambda x: 2 * x @ centroids.T - norms - (x * x).sum(1)[:, None]
+
+
 def cell_network(weights: dict[str, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
     """The forward pass of a small convolutional cell classifier over 8x8 inputs of 0 and 1.
 

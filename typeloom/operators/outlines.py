@@ -189,16 +189,35 @@ def rasterised(glyphs: DataFrame, key: str, engine: str = "winding") -> DataFram
     return rows.repartition(parts, key).mapInArrow(draw, f"`{key}` {dict(glyphs.dtypes)[key]}, px binary")
 
 
-BINARISE = {"at_128": 128, "above_0": 1}
+BINARISE = ("at_128", "above_0", "half", "unless_binary")
+
+
+def set_pixels(cells: np.ndarray, rule: str) -> np.ndarray:
+    """Which pixels of (..., 64) grey cells are set.
+
+    ``at_128``: 128 and above; ``above_0``: anything but 0; ``half``: above half of the full range; ``unless_binary``: a cell
+    whose largest value is 0 or 255 is taken as it stands, full pixels only, any other as by ``above_0``.
+    """
+    if rule == "at_128":
+        return cells >= 128
+    if rule == "above_0":
+        return cells > 0
+    if rule == "half":
+        return cells > 127.5
+    if rule == "unless_binary":
+        ready = np.isin(cells.max(axis=-1, keepdims=True), (0, 255))
+        return np.where(ready, cells == 255, cells > 0)
+    raise ValueError(f"unknown rule {rule}")
 
 
 def cells_of(pictures: DataFrame, key: str, rule: str) -> DataFrame:
     """(key, cells array<bigint>): the 16x16 cells of a 128x128 picture, row by row, each an 8x8 mask.
 
-    ``rule`` says which pixels are set: ``at_128`` or ``above_0``; there is no default, as the two differ. Pictures of
-    another size or null give null.
+    ``rule``, one of BINARISE, says which pixels are set; there is no default, as they differ. Pictures of another size
+    or null give null.
     """
-    least = BINARISE[rule]
+    if rule not in BINARISE:
+        raise ValueError(f"unknown rule {rule}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +226,9 @@ def cells_of(pictures: DataFrame, key: str, rule: str) -> DataFrame:
                 if px is None or len(px) != CANVAS * CANVAS:
                     out.append(None)
                     continue
-                on = np.frombuffer(px, np.uint8).reshape(GRID, CELL, GRID, CELL).transpose(0, 2, 1, 3) >= least
-                out.append(np.packbits(on.reshape(GRID * GRID, 64), axis=1, bitorder="little").view(np.int64).ravel().tolist())
+                on = np.frombuffer(px, np.uint8).reshape(GRID, CELL, GRID, CELL).transpose(0, 2, 1, 3)
+                on = set_pixels(on.reshape(GRID * GRID, 64), rule)
+                out.append(np.packbits(on, axis=1, bitorder="little").view(np.int64).ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], [key, "cells"])
 
     return pictures.select(key, "px").mapInArrow(cut, f"`{key}` {dict(pictures.dtypes)[key]}, cells array<bigint>")
@@ -224,3 +244,9 @@ def cell_rows(grids: DataFrame, key: str) -> DataFrame:
 def rebuilt(cells: Column) -> Column:
     """The coarse picture in which every occupied cell is solid."""
     return F.transform(cells, bits.solid)
+
+
+def without_large_diacritics(measured_glyphs: DataFrame, advance: int = geometry.DIACRITIC_ADVANCE, ratio: float = geometry.DIACRITIC_RATIO) -> DataFrame:
+    """Leaves out diacritics that neither a small advance nor a small ratio makes one: calligraphic outliers. Null measures stay."""
+    large = F.col("is_diacritic") & (F.coalesce("advance_width", F.lit(geometry.DEFAULT_ADVANCE)) >= advance) & (F.col("ratio") >= ratio)
+    return measured_glyphs.filter(~F.coalesce(large, F.lit(False)))

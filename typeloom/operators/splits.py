@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from typeloom.operators.ordering import ranked
 
 TRAIN_SHARE = 0.86
+BUCKET_DIGITS = 3  # hex digits of the hash that name a bucket
 PRECEDENCE = {"train": 0, "val": 1, "test": 2}
 
 
@@ -23,10 +24,16 @@ def unit_hash(key: Column, seed: int) -> Column:
 def stratified_split(rows: DataFrame, key: str, label: str, seed: int = 0, train: float = TRAIN_SHARE, val: float = 0.1, test: float = 0.04) -> DataFrame:
     """(key, label, split): within each label train gets max(1, floor(n*train)); the rest goes to val and test as val:test.
 
-    With val + test = 0 the rest is val. Ranks are taken within a label; the shares are per label by definition.
+    With val + test = 0 the rest is val. Ranks within a label are made in two steps, over buckets of the hash and within a
+    bucket, so a label with a third of all rows is not sorted in one task.
     """
-    w = Window.partitionBy(label)
-    ranked = rows.select(key, label).withColumn("rank", F.row_number().over(w.orderBy(hash_order(F.col(key), seed), key))).withColumn("n", F.count("*").over(w))
+    hashed = rows.select(key, label).withColumn("__h", hash_order(F.col(key), seed)).withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
+    sums = hashed.groupBy(label, "__b").agg(F.count("*").alias("__k"))
+    by_label = Window.partitionBy(label)
+    before = F.sum("__k").over(by_label.orderBy("__b")) - F.col("__k")
+    base = sums.select(F.col(label).alias("__l"), F.col("__b").alias("__c"), before.alias("__before"), F.sum("__k").over(by_label).alias("n"))
+    inner = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
+    ranked = hashed.withColumn("__in", inner).join(base, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c"))).withColumn("rank", F.col("__before") + F.col("__in"))
     n_train = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(train)))
     rest = F.col("n") - n_train
     n_val = F.floor(rest * F.lit(val / (val + test))) if val + test > 0 else rest

@@ -11,20 +11,32 @@ from typeloom.catalog import table
 from typeloom.functions import bits, text, vectors
 from typeloom.operators import counts, evaluation, models, nearest
 from typeloom.plans import grid_queries
+from typeloom.storage import Stage
 
 VOCABULARY, ITERATIONS = 1023, 200  # as in the reference
 EDGES = (0, 40, 45, 50, 55, 60, 1_000_000)
 
 
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").filter("label IS NOT NULL")
+
+
 def predictions(s: SparkSession, d: str) -> DataFrame:
-    """(id, truth, pred, ranked, loss, d2): the class whose mean is nearest; ranked by the largest parts of the vector's first ten."""
+    """(id, truth, pred, ranked, loss, d2): a classifier by class means, fitted on all labelled rows.
+
+    A class's score is the negative squared distance to its mean; ``ranked`` holds the ten best classes, ties by the smaller
+    one, ``loss`` is the cross-entropy of the true class. Rows without a label are scored too; their loss is null.
+    """
     e = table(s, d, "embeddings")
-    means = nearest.mean_vectors(e.filter("vec_id % 2 = 0"), "label", "embedding")
-    near = nearest.nearest_centroid(e, "vec_id", "embedding", means)
-    ten = F.slice("embedding", 1, 10)
-    ranked = F.transform(vectors.top_k(ten, 10), lambda x: x["idx"])
-    rows = e.select("vec_id", F.col("label").alias("truth"), ranked.alias("ranked"), vectors.cross_entropy(ten, F.col("label")).alias("loss"))
-    return rows.join(near, "vec_id").select(F.col("vec_id").alias("id"), "truth", F.col("centroid_id").cast("int").alias("pred"), "ranked", "loss", "d2")
+    stage = Stage(s, "predictions")
+    means = stage.keep(nearest.mean_vectors(_labelled(s, d), "label", "embedding"), "means")
+    classes = F.lit([r["centroid_id"] for r in means.select("centroid_id").orderBy("centroid_id").collect()]).cast("array<int>")  # the classes
+    scores = nearest.centroid_distances(e, "vec_id", "embedding", means).withColumn("scores", F.transform("d2", lambda x: -x))
+    ranked = F.transform(vectors.top_k(F.col("scores"), 10), lambda x: F.get(classes, x["idx"].cast("int")))
+    rows = e.select("vec_id", F.col("label").alias("truth")).join(scores, "vec_id")
+    rows = rows.withColumn("ranked", ranked).withColumn("place", F.array_position(classes, F.col("truth").cast("int")))
+    loss = F.when(F.col("place") > 0, vectors.cross_entropy(F.col("scores"), F.col("place") - 1))
+    return rows.select(F.col("vec_id").alias("id"), "truth", F.col("ranked")[0].alias("pred"), "ranked", loss.alias("loss"), F.array_min("d2").alias("d2"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
@@ -46,7 +58,9 @@ def class_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def macro_f1(s: SparkSession, d: str) -> DataFrame:
-    seen = table(s, d, "embeddings").filter("vec_id % 2 = 0 AND label < 7").select("label")
+    """``seen`` are the classes of at least the mean size."""
+    sizes = _labelled(s, d).groupBy("label").agg(F.count("*").alias("n"))
+    seen = sizes.join(F.broadcast(sizes.agg(F.avg("n").alias("mean"))), F.col("n") >= F.col("mean")).select("label")  # the mean is one row
     return evaluation.macro_f1(evaluation.class_scores(evaluation.confusion(predictions(s, d))), seen)
 
 
@@ -56,7 +70,8 @@ def per_class_accuracy(s: SparkSession, d: str) -> DataFrame:
 
 
 def accuracies(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.accuracies(predictions(s, d), F.col("id") % 3 == 0)
+    """The subset are the rows of the first three classes."""
+    return evaluation.accuracies(predictions(s, d), F.col("truth") < 3)
 
 
 def bucket_accuracy(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +83,8 @@ def coverage_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def head_tail(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.head_tail(evaluation.class_scores(evaluation.confusion(predictions(s, d))))
+    trained = _labelled(s, d).groupBy("label").agg(F.count("*").alias("n"))
+    return evaluation.head_tail(evaluation.class_scores(evaluation.confusion(predictions(s, d))), trained)
 
 
 def _font_guess(s: SparkSession, d: str) -> DataFrame:
@@ -137,13 +153,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_MEANS = grid_queries._MEANS.replace("WHERE label IS NOT NULL", "WHERE label IS NOT NULL AND vec_id % 2 = 0")
 _P = f"""
-    e AS ({grid_queries._VEC}), m AS ({_MEANS}), far AS (SELECT vec_id, c, sum((e.x - m.x) * (e.x - m.x)) AS d2 FROM e JOIN m USING ("at") GROUP BY 1, 2),
-    near AS (SELECT vec_id, arg_min(c, {{'d': d2, 'c': c}})::INT AS pred, min(d2) AS d2 FROM far GROUP BY 1),
-    soft AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE - list_max(embedding[1:10])::DOUBLE - ln(list_sum(list_transform(embedding[1:10], lambda y: exp(y::DOUBLE - list_max(embedding[1:10])::DOUBLE))))) AS l FROM embeddings),
-    ranks AS (SELECT vec_id, list(i ORDER BY x DESC, i) AS ranked FROM (SELECT vec_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM soft) GROUP BY 1),
-    p AS (SELECT vec_id AS id, label AS truth, pred, ranked, -l[label + 1] AS loss, d2 FROM soft JOIN near USING (vec_id) JOIN ranks USING (vec_id)),
+    e AS ({grid_queries._VEC}), m AS ({grid_queries._MEANS}), far AS (SELECT vec_id, c, sum((e.x - m.x) * (e.x - m.x)) AS d2 FROM e JOIN m USING ("at") GROUP BY 1, 2),
+    best AS (SELECT vec_id, min(d2) AS d2, list(c::INT ORDER BY d2, c)[1:10] AS ranked FROM far GROUP BY 1),
+    soft AS (SELECT vec_id, ln(sum(exp(best.d2 - far.d2))) AS rest FROM far JOIN best USING (vec_id) GROUP BY 1),
+    p AS (SELECT v.vec_id AS id, v.label AS truth, ranked[1] AS pred, ranked, far.d2 - best.d2 + rest AS loss, best.d2 AS d2
+        FROM embeddings v JOIN best USING (vec_id) JOIN soft USING (vec_id) LEFT JOIN far ON far.vec_id = v.vec_id AND far.c = v.label),
     conf AS (SELECT truth AS t, pred AS p, count(*) AS n FROM p WHERE truth IS NOT NULL AND pred IS NOT NULL GROUP BY 1, 2),
     sums AS (SELECT label, sum(s)::BIGINT AS support, sum(q)::BIGINT AS predicted, sum(h)::BIGINT AS hits FROM (SELECT t AS label, n AS s, 0 AS q, CASE WHEN t = p THEN n ELSE 0 END AS h FROM conf UNION ALL SELECT p, 0, n, 0 FROM conf) GROUP BY 1),
     pr AS (SELECT *, hits::DOUBLE / greatest(predicted, 1) AS precision, hits::DOUBLE / greatest(support, 1) AS recall FROM sums),
@@ -155,11 +170,11 @@ ORACLE: dict[str, str] = {
     "line_confusion": "SELECT l_returnflag AS t, l_linestatus AS p, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "class_scores": f"WITH {_P} SELECT label, support, predicted, hits, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM scores",
     "macro_f1": f"""
-    WITH {_P} SELECT round(coalesce(avg(f1), 0), 9) AS macro_f1_all, round(coalesce(avg(f1) FILTER (WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 2 = 0 AND label < 7)), 0), 9) AS macro_f1_seen FROM scores WHERE support > 0""",
+    WITH {_P} SELECT round(coalesce(avg(f1), 0), 9) AS macro_f1_all, round(coalesce(avg(f1) FILTER (WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)))), 0), 9) AS macro_f1_seen FROM scores WHERE support > 0""",
     "per_class_accuracy": f"WITH {_P} SELECT r.range::INT AS label, coalesce(support, 0) AS support, round(coalesce(recall, 0), 9) AS accuracy FROM range(12) r LEFT JOIN scores ON label = r.range",
     "accuracies": f"""
     WITH {_P} SELECT count(*) AS n, round(avg((truth = pred)::INT), 9) AS top1, round(avg(list_contains(ranked[1:5], truth)::INT), 9) AS topk, round(avg(loss), 9) AS mean_loss,
-        round(avg((truth = pred)::INT) FILTER (WHERE id % 3 = 0), 9) AS subset_top1 FROM p""",
+        round(avg((truth = pred)::INT) FILTER (WHERE truth < 3), 9) AS subset_top1 FROM p""",
     "bucket_accuracy": f"""
     WITH {_P}, c AS (SELECT truth, count(*) AS n, sum((truth = pred)::INT) AS h FROM p GROUP BY 1)
     SELECT CASE WHEN n < 40 THEN 0 WHEN n < 45 THEN 1 WHEN n < 50 THEN 2 WHEN n < 55 THEN 3 WHEN n < 60 THEN 4 ELSE 5 END AS bucket, sum(n)::BIGINT AS n, round(sum(h)::DOUBLE / sum(n), 9) AS accuracy FROM c GROUP BY 1""",

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
 from typeloom.functions import bits, geometry, vectors
-from typeloom.operators import grids, nearest, outlines
+from typeloom.operators import grids, models, nearest, outlines
+from typeloom.sources import files
+
+VOCABULARY = 1024  # primitives, EMPTY included
 
 
 def _masks(s: SparkSession, d: str) -> DataFrame:
@@ -125,14 +129,55 @@ def cells_to_primitives(s: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_centroid(cells.select("cell_id", "v"), "cell_id", "v", means).select("cell_id", "centroid_id", F.round("d2", 6).alias("d2"))
 
 
+def _primitive_pictures(s: SparkSession, d: str) -> np.ndarray:
+    """The mean picture of each primitive, in the order of ids, zeros where there is none; a vocabulary, so it is small."""
+    top = VOCABULARY
+    out = np.zeros((top, 64))
+    cells = table(s, d, "cells").select("cell_id", "primitive_id", "mask").distinct().withColumn("v", bits.unpack(F.col("mask"))).withColumn("p", grids.assigned(F.col("primitive_id")))
+    for r in nearest.mean_vectors(cells.filter((F.col("p") >= 0) & (F.col("p") < top)), "p", "v").collect():  # at most VOCABULARY rows
+        out[r["centroid_id"]] = r["v"]
+    return out
+
+
+def scored_cells(s: SparkSession, d: str) -> DataFrame:
+    """Every distinct cell through the simplest cell model, with the distances to its choice and to the assigned primitive."""
+    centroids = _primitive_pictures(s, d)
+    cells = table(s, d, "cells").filter("cell_id IS NOT NULL").groupBy("cell_id").agg(F.min("mask").alias("mask"), F.max(grids.assigned(F.col("primitive_id"))).alias("p"))
+    found = models.cell_scores(cells, "cell_id", "mask", models.centroid_network(centroids), centroids, "p")
+    return found.select("cell_id", "pred", F.round("conf", 6).alias("conf"), F.round("d_pred", 6).alias("d_pred"), F.round("d_assigned", 6).alias("d_assigned"))
+
+
+def rasters_to_grids(s: SparkSession, d: str) -> DataFrame:
+    """Outlines to pictures to token grids: drawing, cutting, scoring and the rule for blank patches in one chain."""
+    pictures = outlines.rasterised(_measured(s, d), "id")
+    return models.picture_grids(pictures, "id", models.centroid_network(_primitive_pictures(s, d))).select("id", F.posexplode("grid").alias("at", "p")).filter("p <> 0")
+
+
+def assigned_cells(s: SparkSession, d: str) -> DataFrame:
+    """The cell manifest joined with an assignment of cells, last row wins, and with what is known of their glyphs."""
+    cells = table(s, d, "cells")
+    manifest = cells.select("cell_id", "glyph_id", "cell_row", "cell_col").distinct()
+    assignment = files.last_wins(cells.select("cell_id", "primitive_id", F.struct("extracted_at", "piece_no", "primitive_id").alias("at")), "cell_id", "at")
+    glyphs = table(s, d, "glyphs").filter("label IS NOT NULL").groupBy(F.col("id").alias("glyph_id")).agg(F.min("label").alias("label"))
+    known = manifest.join(assignment.select("cell_id", grids.assigned(F.col("primitive_id")).alias("primitive_id")).filter("primitive_id IS NOT NULL"), "cell_id")
+    return known.join(glyphs, "glyph_id", "left").select("cell_id", "glyph_id", "cell_row", "cell_col", "primitive_id", "label")
+
+
+def plain_diacritics(s: SparkSession, d: str) -> DataFrame:
+    """Measured glyphs without the large diacritics."""
+    return outlines.without_large_diacritics(_measured(s, d)).groupBy("is_diacritic").agg(F.count("*").alias("n"))
+
+
 def centroid_neighbours(s: SparkSession, d: str) -> DataFrame:
     vecs = table(s, d, "embeddings").select(F.col("vec_id").alias("centroid_id"), F.col("embedding").alias("v"))
     return nearest.neighbours(vecs, 0.5).select("centroid_id", "nearest_id", F.round("d2", 6).alias("d2"), "close")
 
 
 def centroid_drift(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings")
-    return nearest.drift(nearest.mean_vectors(e, "label", "embedding"), nearest.mean_vectors(e.filter("vec_id % 2 = 0"), "label", "embedding"))
+    """How far the class means move when every vector goes to its nearest one and the means are taken anew."""
+    e, means = table(s, d, "embeddings"), _class_means(s, d)
+    moved = e.join(nearest.nearest_centroid(e, "vec_id", "embedding", means), "vec_id")
+    return nearest.drift(nearest.mean_vectors(moved, "centroid_id", "embedding"), means)
 
 
 def hybrid_override(s: SparkSession, d: str) -> DataFrame:
@@ -202,6 +247,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bit_statistics, pack_round_trip, mirror_symmetry, pixel_similarity, binarised_pixels, stored_vs_cells, empty_flag_check, token_grids, grid_statistics, token_dropout, neighbour_context, patch_pool,
         heat_statistics, row_major_ids, pixel_centroids, nearest_centroid, cells_to_primitives, centroid_neighbours, centroid_drift, hybrid_override, softmax_top_k, cross_entropy, min_max_scaled,
         position_codes, delta_codes, outline_measures, polyline_measures, rasterised_glyphs, carved_glyphs,
+        scored_cells, rasters_to_grids, assigned_cells, plain_diacritics,
     )
 }
 
@@ -251,8 +297,9 @@ ORACLE: dict[str, str] = {
     WITH e AS ({_VEC}), p AS (SELECT a.vec_id AS i, b.vec_id AS j, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM e a JOIN e b ON a.at = b.at AND a.vec_id <> b.vec_id GROUP BY 1, 2)
     SELECT i AS centroid_id, arg_min(j, {{'d': d2, 'j': j}}) AS nearest_id, round(min(d2), 6) AS d2, count(*) FILTER (WHERE d2 <= 0.5) AS close FROM p GROUP BY 1""",
     "centroid_drift": f"""
-    WITH a AS ({_MEANS}), b AS ({_MEANS.replace("WHERE label IS NOT NULL", "WHERE label IS NOT NULL AND vec_id % 2 = 0")}), f AS (SELECT c, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM a JOIN b USING (c, \"at\") GROUP BY c)
-    SELECT count(*) AS n, round(avg(d), 6) AS mean_l2, round(median(d), 6) AS median_l2, round(max(d), 6) AS max_l2 FROM f""",
+    WITH {_NEAR}, n AS (SELECT centroid_id AS c, "at", avg(x) AS x FROM e JOIN near USING (vec_id) GROUP BY 1, 2),
+    f AS (SELECT c, sqrt(sum((n.x - m.x) * (n.x - m.x))) AS d FROM n JOIN m USING (c, "at") GROUP BY c), k AS (SELECT count(DISTINCT n.c) = (SELECT count(DISTINCT c) FROM m) AS whole FROM n)
+    SELECT count(*) AS n, round(avg(d), 6) AS mean_l2, round(median(d), 6) AS median_l2, round(max(d), 6) AS max_l2 FROM f, k WHERE whole""",
     "hybrid_override": f"WITH {_NEAR} SELECT v.vec_id, v.label, CASE WHEN centroid_id <> v.label AND 1 / (1 + d2) >= 0.3::DOUBLE THEN centroid_id ELSE v.label END::BIGINT AS merged FROM embeddings v JOIN near USING (vec_id)",
     "softmax_top_k": f"""
     SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, idx) - 1)::INT AS rank, idx::INT AS idx, round(p, 9) AS prob FROM (SELECT vec_id, exp(unnest(l)) AS p, generate_subscripts(l, 1) - 1 AS idx FROM ({_SOFT}))
@@ -271,4 +318,17 @@ ORACLE: dict[str, str] = {
     SELECT id, len(p)::INT AS points, round(0.5::DOUBLE * list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i][1] * p[i % len(p) + 1][2] - p[i % len(p) + 1][1] * p[i][2])), 4) AS area,
         list_min(list_transform(p, lambda q: q[1])) AS x0, list_min(list_transform(p, lambda q: q[2])) AS y0, list_max(list_transform(p, lambda q: q[1])) AS x1, list_max(list_transform(p, lambda q: q[2])) AS y1
     FROM flat WHERE len(p) >= 3""",
+    "assigned_cells": """
+    WITH a AS (SELECT cell_id, arg_max(coalesce(primitive_id, -1), {'t': extracted_at, 'n': piece_no, 'p': coalesce(primitive_id, -1)}) AS primitive_id FROM cells GROUP BY 1)
+    SELECT c.cell_id, c.glyph_id, c.cell_row, c.cell_col, a.primitive_id, g.label FROM (SELECT DISTINCT cell_id, glyph_id, cell_row, cell_col FROM cells) c JOIN a USING (cell_id)
+    LEFT JOIN (SELECT id, min(label) AS label FROM glyphs WHERE label IS NOT NULL GROUP BY id) g ON g.id = c.glyph_id WHERE a.primitive_id NOT IN (-1, 65535)""",
+    "cells_to_primitives": """
+    WITH k AS (SELECT DISTINCT cell_id, primitive_id, mask FROM cells WHERE mask <> 0),
+    px AS (SELECT mask, r.range::INT AS "at" FROM (SELECT DISTINCT mask FROM k) CROSS JOIN range(64) r WHERE CASE WHEN r.range = 63 THEN mask < 0 ELSE ((mask >> r.range::INT) & 1) = 1 END),
+    c AS (SELECT primitive_id::BIGINT AS c, r.range::INT AS "at", avg(CASE WHEN r.range = 63 THEN (mask < 0)::INT ELSE ((mask >> r.range::INT) & 1)::INT END) AS x
+        FROM (SELECT DISTINCT cell_id, primitive_id, mask FROM cells WHERE mask <> 0 AND primitive_id > 0 AND primitive_id <> 65535) CROSS JOIN range(64) r GROUP BY 1, 2),
+    norm AS (SELECT c, sum(x * x) AS n FROM c GROUP BY c),
+    d AS (SELECT mask, c, sum(1 - 2 * x) AS s FROM px JOIN c USING ("at") GROUP BY 1, 2),
+    best AS (SELECT mask, arg_min(c, {'d': round(s + n, 9), 'c': c}) AS centroid_id, min(s + n) AS d2 FROM d JOIN norm USING (c) GROUP BY 1)
+    SELECT k.cell_id, best.centroid_id, round(best.d2, 6) AS d2 FROM k JOIN best USING (mask)""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from typeloom.catalog import register_views, table
 from typeloom.functions import text, vectors
 from typeloom.operators import counts, quality, series, splits
+from typeloom.sources import files
 
 _SPLIT = r"^\s*(train|val|test)"
 
@@ -100,6 +101,16 @@ def hash_split(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", splits.hash_split(F.col("o_custkey")).alias("split"))
 
 
+def test_rasters(s: SparkSession, d: str) -> DataFrame:
+    """The rasters of the test split, by the id at the end of their names."""
+    listed = table(s, d, "samples").filter(split_name(F.col("split")) == "test").select("glyph_id")
+    return files.of_ids(table(s, d, "meta_records").select("record_id", "raster_filename"), "raster_filename", listed).select("record_id", "raster_filename")
+
+
+def one_cycle(s: SparkSession, d: str) -> DataFrame:
+    return s.range(40).select(F.col("id").alias("epoch"), F.round(vectors.one_cycle_rate(F.col("id"), 0.01, 40), 9).alias("lr"))
+
+
 def split_precedence(s: SparkSession, d: str) -> DataFrame:
     listed = table(s, d, "samples").select("glyph_id", split_name(F.col("split")).alias("split"))
     return splits.first_claim(listed, "glyph_id")
@@ -184,7 +195,9 @@ def anomaly_report(s: SparkSession, d: str) -> DataFrame:
 def group_statistics(s: SparkSession, d: str) -> DataFrame:
     r = lambda c, n: F.round(c, 6).alias(n)
     v = F.col("o_totalprice")
-    return table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), r(F.median(v), "median"), F.min(v).alias("low"), F.max(v).alias("high"))
+    of = table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    middle = counts.medians(table(s, d, "orders"), "o_orderpriority", "o_totalprice").select(F.col("o_orderpriority").alias("p"), r(F.col("median"), "median"))
+    return of.join(middle, F.col("o_orderpriority").eqNullSafe(F.col("p")), "left").drop("p")
 
 
 def order_statistics(s: SparkSession, d: str) -> DataFrame:
@@ -256,7 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         source_join_filter, canonical_sql, latest_ingest, key_list_lookup, advance_consistency, semi_coverage, anti_missing, min_support_labels, label_map, label_lookup, name_lookup_default,
-        stratified_split, group_split, hash_split, split_precedence, per_label_first_n, deterministic_sample, downsample_empty, every_nth, file_name_parse, key_prefix_strip, safe_casts,
+        stratified_split, group_split, hash_split, split_precedence, test_rasters, one_cycle, per_label_first_n, deterministic_sample, downsample_empty, every_nth, file_name_parse, key_prefix_strip, safe_casts,
         raster_fallback, existence, font_overlap, all_paths, newest_artifact, anomaly_report, group_statistics, order_statistics, filled_histogram, population_buckets, class_frequency_bins,
         class_weights, top_k_frequency, distinct_counts, json_extract, moving_average, running_best, early_stop, phase_pivot, best_kept, prefix_offsets, learning_rates,
     )
@@ -366,4 +379,10 @@ ORACLE: dict[str, str] = {
     "learning_rates": """
     SELECT range AS epoch, round(CASE WHEN range < 5 THEN 0.001::DOUBLE * (range + 1) / 5.0::DOUBLE
         ELSE 1e-5::DOUBLE + (0.001::DOUBLE - 1e-5::DOUBLE) * 0.5::DOUBLE * (1 + cos(least(greatest((range - 5) / 55.0::DOUBLE, 0), 1) * pi())) END, 12) AS lr FROM range(60)""",
+    "test_rasters": """
+    SELECT record_id, raster_filename FROM meta_records WHERE regexp_extract(raster_filename, '_([0-9]+)[.][A-Za-z0-9]+$', 1) <> ''
+    AND regexp_extract(raster_filename, '_([0-9]+)[.][A-Za-z0-9]+$', 1)::BIGINT IN (SELECT glyph_id FROM samples WHERE regexp_matches(lower(split), '^\\s*test') AND glyph_id IS NOT NULL)""",
+    "one_cycle": """
+    SELECT range AS epoch, round(CASE WHEN range / 39.0::DOUBLE < 0.3::DOUBLE THEN 0.01::DOUBLE / 25 + (0.01::DOUBLE - 0.01::DOUBLE / 25) * (range / 39.0::DOUBLE) / 0.3::DOUBLE
+        ELSE 0.01::DOUBLE * (1 - (range / 39.0::DOUBLE - 0.3::DOUBLE) / 0.7::DOUBLE) END, 9) AS lr FROM range(40)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 from dataclasses import dataclass, field, fields
 
@@ -46,17 +47,77 @@ def label_map(spark: SparkSession, path: str, unknown: str = "<UNK_{}>") -> Data
     return every.join(pairs, "idx", "left").select("idx", F.coalesce("label", name).alias("label"))
 
 
+def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key, the last in ``order``; the order column is dropped."""
+    kept = [c for c in rows.columns if c not in (key, order)]
+    last = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*kept), order).alias("__x"))
+    return last.select(key, *[F.col(f"__x.{c}").alias(c) for c in kept])
+
+
+def of_ids(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows whose file name ends in ``_<id>.<suffix>`` with one of the ids in the first column of ``ids``. An empty list of ids
+    asks for nothing to be left out: all rows stay."""
+    if not ids.limit(1).count():
+        return rows
+    wanted = ids.select(F.col(ids.columns[0]).cast("bigint").alias("__id")).filter("__id IS NOT NULL").distinct()
+    own = F.regexp_extract(name, r"_([0-9]{1,18})\.[A-Za-z0-9]+$", 1).try_cast("bigint")
+    return rows.withColumn("__id", own).join(wanted, "__id", "left_semi").drop("__id")
+
+
+def cell_store(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, mask) of a folder of 8x8 cells, numbered over all its files in name order.
+
+    Of the layouts the first that is there counts: ``cells.npy``, ``shard_*.npy`` (both with a byte a pixel) and
+    ``cells_bitpack_shard_*.npy`` (a 64-bit mask a cell, pixel r*8+c in bit r*8+c). Anything else raises.
+    """
+    from typeloom.functions.bits import pack
+
+    spark.dataSource.register(NpySource)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    for pattern, packed in (("cells.npy", False), ("shard_*.npy", False), ("cells_bitpack_shard_*.npy", True)):
+        if fnmatch.filter(names, pattern):
+            rows = spark.read.format("npy").options(path=folder, pattern=pattern).load()
+            mask = F.col("v")[0] if packed else pack(F.transform("v", lambda x: (x != 0).cast("int")))
+            return rows.select("row_id", mask.cast("bigint").alias("mask"))
+    raise FileNotFoundError(f"{folder} holds no known layout of cells")
+
+
+def packed_grids(spark: SparkSession, grids: str, ids: str) -> DataFrame:
+    """(glyph_id, grid array<int>) of a header-less file of 256 uint16 a grid and the ``.npy`` file of its row ids.
+
+    Raises if the file is no whole number of grids, or if there are not as many ids.
+    """
+    spark.dataSource.register(NpySource)
+    rows = spark.read.format("npy").options(path=grids, raw="true", dtype="uint16", width="256").load()
+    named = spark.read.format("npy").option("path", ids).load().select("row_id", F.col("v")[0].alias("glyph_id"))
+    if (n := rows.count()) != (k := named.count()):
+        raise ValueError(f"{n} grids but {k} row ids")
+    return rows.join(named, "row_id").select("glyph_id", F.col("v").cast("array<int>").alias("grid"))
+
+
+def weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """The arrays of a model that ``sinks.weights`` wrote; a model fits on the driver."""
+    rows = spark.read.parquet(path).collect()
+    return {r["name"]: np.array(r["v"]).reshape(r["shape"]) for r in rows}
+
+
 def assignments(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(cell_id, primitive_id) from parquet, jsonl, csv or a dense npy array; sentinels mean unassigned and are dropped.
 
-    In a dense array the position is the cell.
+    In a dense array the position is the cell. Elsewhere a cell that is listed twice has what its last row says, by file
+    name and place in the file, also where that is a sentinel.
     """
     if kind == "npy":
         spark.dataSource.register(NpySource)
         rows = spark.read.format("npy").option("path", path).load().select(F.col("row_id").alias("cell_id"), F.col("v")[0].alias("primitive_id"))
     else:
         reader = {"parquet": spark.read.parquet, "jsonl": spark.read.json, "csv": spark.read.option("header", True).csv}[kind]
-        rows = reader(path).select("cell_id", "primitive_id")
+        rows = reader(path)
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+        rows = rows.select(F.col("cell_id").try_cast("bigint").alias("cell_id"), F.col("primitive_id").try_cast("int").alias("primitive_id"), place.alias("__at"))
+        rows = last_wins(rows.filter("primitive_id IS NOT NULL"), "cell_id", "__at")
     typed = rows.select(F.col("cell_id").try_cast("bigint").alias("cell_id"), F.col("primitive_id").try_cast("int").alias("primitive_id"))
     return typed.filter(F.col("cell_id").isNotNull() & F.col("primitive_id").isNotNull() & ~F.col("primitive_id").isin(*HOLES))
 

@@ -70,7 +70,7 @@ class NpyReader(DataSourceReader):
         array = self._open(shard.path)
         kind = np.float64 if array.dtype.kind == "f" else np.int64
         for at in range(0, len(array), BATCH):
-            part = np.asarray(array[at : at + BATCH]).astype(kind)
+            part = np.asarray(array[at : at + BATCH]).astype(kind)  # 64-bit masks keep their bits
             offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
             ids = pa.array(np.arange(at, at + len(part), dtype=np.int64) + shard.first)
             files = pa.array([os.path.basename(shard.path)] * len(part))

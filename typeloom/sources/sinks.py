@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions.text import safe_label
@@ -59,3 +60,9 @@ def dense_labels(cells: DataFrame, hole: int = 65535) -> DataFrame:
     from typeloom.functions.bits import unpack
 
     return cells.select("cell_id", unpack(F.col("mask")).alias("v"), F.coalesce("primitive_id", F.lit(hole)).alias("label"))
+
+
+def weights(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
+    """A model's arrays, one row each."""
+    rows = [(name, list(a.shape), [float(x) for x in a.ravel()]) for name, a in sorted(arrays.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, v array<double>").write.mode("errorifexists").parquet(path)
