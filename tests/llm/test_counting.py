@@ -85,10 +85,11 @@ def test_split_proportions_and_labels(spark):
     forms = ["isol", "init", "fina"]
     rows = [(i, f"x_{forms[(g := int(rng.random() ** 2 * 900)) % 3]}_{i}.png", f"g:{g}") for i in range(6000)]
     df = spark.createDataFrame(rows, "record_id long, raster_filename string, group_id string")
-    got = grouped_splits.assign(spark, df).join(df.withColumn("label", grouped_splits.stratum(F.col("raster_filename"))).select("record_id", "label"), "record_id")
+    got = grouped_splits.assign(spark, df).join(df.withColumn("label", grouped_splits.label_of(F.col("raster_filename"))).select("record_id", "label"), "record_id")
     assert got.count() == 6000 and got.groupBy("group_id").agg(F.count_distinct("split").alias("k")).filter("k > 1").count() == 0
     per = {(r.label, r.split): r["count"] for r in got.groupBy("label", "split").count().collect()}
     for label in forms:
+        label = f"x_{label}"
         n = sum(v for (x, _), v in per.items() if x == label)
         for split, share in zip(grouped_splits.SPLITS, grouped_splits.PROPORTIONS):
             assert abs(per[label, split] / n - share) < 0.03
@@ -102,6 +103,16 @@ def test_hot_group_stays_whole(spark):
     assert abs(got["train"] - 2400) <= 3 and abs(got["val"] - 300) <= 3
 
 
+def test_ten_thousand_labels(spark):
+    df = spark.range(60_000).selectExpr("id AS record_id", "concat('l', id % 10000, '_', id, '.png') AS raster_filename", "concat('g:', id) AS group_id")
+    named = df.withColumn("label", grouped_splits.label_of(F.col("raster_filename")))
+    assert named.select("label").distinct().count() == 10_000
+    out = grouped_splits.assign(spark, df, (0.5, 0.5), splits=("a", "b"))
+    per = out.join(named.select("record_id", "label"), "record_id").groupBy("label").agg(F.count_if(F.col("split") == "a").alias("a"), F.count("*").alias("n"))
+    assert per.filter("n <> 6 OR a <> 3").count() == 0
+    assert grouped_splits.split_checks(grouped_splits.assign(spark, df)).first()[:2] == (60_000, 0)
+
+
 def check_patterns(counts, capacity):
     patterns, fixed = packing.solve(counts, capacity)
     seen = Counter()

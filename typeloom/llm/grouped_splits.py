@@ -12,8 +12,6 @@ HASH_DIGITS = 40
 MIN_DIGITS = 6  # a shorter rest names no font
 SPLITS = ("train", "val", "test")
 PROPORTIONS = (0.8, 0.1, 0.1)
-LARGE_SHARE = 0.001  # groups of at least this share of all records are placed one by one; there are at most 1/LARGE_SHARE
-MAX_STRATA = 256
 BUCKETS = 1024
 
 
@@ -65,83 +63,72 @@ def groups(spark: SparkSession, records: DataFrame, fonts: DataFrame) -> DataFra
     return either.join(labels, "id", "left").select("record_id", "raster_filename", F.coalesce("label", alone).alias("group_id"))
 
 
-def stratum(col: Column) -> Column:
-    """The joining form at the end of a raster's label; ``base`` for plain labels and null names."""
-    form = F.regexp_extract(col, r"_([A-Za-z]+[0-9]*)_[0-9]+\.[A-Za-z]+$", 1)
-    return F.when(form != "", F.lower(form)).otherwise("base")
+def label_of(col: Column) -> Column:
+    """The whole label in a raster's name: what stands before the id, trimmed, in lower case; ``none`` for null and unlabelled names."""
+    label = F.lower(F.trim(F.regexp_extract(col, r"([^/\\\\]*)_[0-9]+\.[A-Za-z0-9]+\s*$", 1)))
+    return F.when(label != "", label).otherwise("none")
 
 
-def place_large(sizes: list[tuple[str, dict[str, int]]], totals: dict[str, int], proportions: tuple[float, ...]) -> dict[str, int]:
-    """Largest group first, into the split where it adds least to the squared deviation from the targets.
-
-    Deviations count per label and for the total, each as a share of its target.
-    """
-    keys = [*totals, ""]
-    whole = totals | {"": sum(totals.values())}
-    have = [dict.fromkeys(keys, 0) for _ in proportions]
-    placed = {}
-    for name, counts in sorted(sizes, key=lambda x: (-sum(x[1].values()), x[0])):
-        add = counts | {"": sum(counts.values())}
-
-        def cost(i: int) -> float:
-            total = 0.0
-            for k, n in add.items():
-                goal = proportions[i] * whole[k]
-                total += (((have[i][k] + n) - goal) ** 2 - (have[i][k] - goal) ** 2) / max(goal, 1.0) / max(proportions[i], 1e-9)
-            return total
-
-        best = min(range(len(proportions)), key=lambda i: (cost(i), i))
-        placed[name] = best
-        for k, n in add.items():
-            have[best][k] += n
-    return placed
-
-
-def assign(spark: SparkSession, grouped: DataFrame, proportions: tuple[float, ...] = PROPORTIONS, seed: int = 0) -> DataFrame:
+def assign(
+    spark: SparkSession, grouped: DataFrame, proportions: tuple[float, ...] = PROPORTIONS, seed: int = 0, splits: tuple[str, ...] = SPLITS
+) -> DataFrame:
     """(record_id, group_id, split): whole groups, with the proportions kept within each label as well as groups allow.
 
-    Groups of at least 0.1 % of all records, at most a thousand, are placed greedily by their label counts. The others
-    belong to the stratum of their commonest label; in each stratum they stand in a seeded random order, and what the
-    large groups left of each split's target is cut out of their running sizes. The running sizes are sums in two steps,
-    over buckets and within a bucket, so no stratum is gathered in one task.
+    Groups are placed by size, from the largest power of two down, at most 63 times. What each split still lacks of each
+    label, against its goal, is known when a size is reached; the groups of that size stand in a seeded random order within
+    their commonest label and are cut by those lacks. So what larger groups did to a label, in whatever company, is made up
+    for by smaller ones, and a label ends up off its goal by about the size of its smallest groups. All sizes and labels go
+    the same way, however many there are: goals and lacks are tables by label, and the running sizes are sums in two steps,
+    over buckets and within a bucket, so no label is gathered in one task. Only the sizes' powers go to the driver.
     """
-    if abs(sum(proportions) - 1) > 1e-6 or min(proportions) < 0:
-        raise ValueError("proportions must sum to 1")
+    if abs(sum(proportions) - 1) > 1e-6 or min(proportions) < 0 or len(proportions) != len(splits):
+        raise ValueError("proportions must sum to 1, one for each split")
     stage = Stage(spark, "split-assignment")
-    label = stratum(F.col("raster_filename"))
-    rows = stage.keep(grouped.withColumn("label", label), "rows")
-    many = rows.select("label").distinct().limit(MAX_STRATA + 1).count() > MAX_STRATA
-    if many:  # a fixed number of strata, whatever the labels are
-        rows = rows.withColumn("label", F.pmod(F.xxhash64("label"), F.lit(MAX_STRATA)).cast("string"))
+    rows = stage.keep(grouped.select("record_id", "group_id", label_of(F.col("raster_filename")).alias("label")), "rows")
     counts = stage.keep(rows.groupBy("group_id", "label").agg(F.count("*").alias("n")), "counts")
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # at most MAX_STRATA
-    every = sum(totals.values())
+    totals = stage.keep(counts.groupBy("label").agg(F.sum("n").alias("total")), "totals")
     sizes = counts.groupBy("group_id").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    sizes = stage.keep(sizes, "sizes")
-    big = sizes.filter(F.col("size") >= max(2, LARGE_SHARE * every)).select("group_id")
-    large: dict[str, dict[str, int]] = {}
-    for r in counts.join(big, "group_id", "left_semi").collect():  # at most 1/LARGE_SHARE groups of MAX_STRATA labels
-        large.setdefault(r["group_id"], {})[r["label"]] = r["n"]
-    placed = place_large(list(large.items()), totals, proportions)
-    left = {k: [proportions[i] * n - sum(c.get(k, 0) for g, c in large.items() if placed[g] == i) for i in range(len(proportions))] for k, n in totals.items()}
-    cuts = []
-    for k, room in left.items():
-        room = [max(0.0, x) for x in room]
-        share = [x / sum(room) for x in room] if sum(room) else list(proportions)
-        cuts.append((k, share[0], share[0] + share[1]))
-    first = spark.createDataFrame([(g, SPLITS[i]) for g, i in placed.items()], "group_id string, split string")
-    limits = spark.createDataFrame(cuts, "main string, a double, b double")
-    small = sizes.join(F.broadcast(first.select("group_id")), "group_id", "left_anti")  # at most 1/LARGE_SHARE rows
-    order = F.xxhash64("group_id", F.lit(seed))
-    small = small.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = small.groupBy("main", "bucket").agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("main").orderBy("bucket")
-    whole = Window.partitionBy("main")
-    base = sums.select("main", "bucket", (F.sum("s").over(w) - F.col("s")).alias("before"), F.sum("s").over(whole).alias("all"))
-    inner = Window.partitionBy("main", "bucket").orderBy("h", "group_id")
-    spot = small.withColumn("run", F.sum("size").over(inner) - F.col("size")).join(base, ["main", "bucket"])
-    middle = (F.col("before") + F.col("run") + F.col("size") / 2) / F.col("all")
-    spot = spot.join(F.broadcast(limits), "main")  # at most MAX_STRATA rows
-    cut = F.when(middle < F.col("a"), SPLITS[0]).when(middle < F.col("b"), SPLITS[1]).otherwise(SPLITS[2])
-    chosen = spot.select("group_id", cut.alias("split")).unionByName(first)
-    return rows.join(chosen, "group_id").select("record_id", "group_id", "split")
+    sizes = stage.keep(sizes.withColumn("power", F.floor(F.log2("size")).cast("int")), "sizes")
+    h = F.xxhash64("group_id", F.lit(seed))
+    have = None  # (label, h0, h1, ...): what larger groups have brought to each split
+    chosen = []
+    for power in sorted((r["power"] for r in sizes.select("power").distinct().collect()), reverse=True):
+        lacks = totals if have is None else totals.join(have, "label", "left")
+        room = [F.greatest(F.lit(0.0), share * F.col("total") - (F.lit(0) if have is None else F.coalesce(f"h{i}", F.lit(0)))) for i, share in enumerate(proportions)]
+        lacks = lacks.select(F.col("label").alias("main"), *[x.alias(f"r{i}") for i, x in enumerate(room)])
+        some = sizes.filter(F.col("power") == power).withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+        sums = some.groupBy("main", "bucket").agg(F.sum("size").alias("s"))
+        ahead = F.sum("s").over(Window.partitionBy("main").orderBy("bucket")) - F.col("s")
+        base = sums.select("main", "bucket", ahead.alias("before"), F.sum("s").over(Window.partitionBy("main")).alias("every")).join(lacks, "main")
+        inner = Window.partitionBy("main", "bucket").orderBy("h", "group_id")
+        spot = some.withColumn("run", F.sum("size").over(inner) - F.col("size")).join(base, ["main", "bucket"])
+        middle = (F.col("before") + F.col("run") + F.col("size") / 2) / F.col("every")
+        whole = sum((F.col(f"r{i}") for i in range(1, len(splits))), F.col("r0"))
+        cut, upto = F.lit(len(splits) - 1), F.lit(0.0)
+        edges = []
+        for i, share in enumerate(proportions[:-1]):
+            upto = upto + F.when(whole > 0, F.col(f"r{i}") / whole).otherwise(share)
+            edges.append(upto)
+        for i, edge in reversed(list(enumerate(edges))):
+            cut = F.when(middle < edge, i).otherwise(cut)
+        chosen.append(stage.keep(spot.select("group_id", cut.alias("nr")), f"power-{power}"))
+        brought = counts.join(chosen[-1], "group_id").groupBy("label").agg(*[F.sum(F.when(F.col("nr") == i, F.col("n")).otherwise(0)).alias(f"h{i}") for i in range(len(splits))])
+        if have is not None:
+            brought = have.unionByName(brought).groupBy("label").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(len(splits))])
+        before, have = have, stage.keep(brought, "have")
+        stage.drop(before)
+    if not chosen:
+        return rows.select("record_id", "group_id", F.lit(splits[0]).alias("split")).limit(0)
+    every = chosen[0]
+    for more in chosen[1:]:
+        every = every.unionByName(more)
+    name = F.element_at(F.array(*[F.lit(x) for x in splits]), F.col("nr") + 1)
+    return rows.join(every, "group_id").select("record_id", "group_id", name.alias("split"))
+
+
+def split_checks(assigned: DataFrame, proportions: tuple[float, ...] = PROPORTIONS, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """(n_records, torn_groups, splits_off): records assigned, groups in more than one split, and splits that miss their share of
+    the records by more than half the largest group, which can't be divided, and a thousandth."""
+    of = assigned.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("k"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in splits])
+    off = sum((F.when(F.abs(F.sum(f"n_{s}") / F.sum("n") - p) > F.max("n") / F.sum("n") / 2 + 0.001, 1).otherwise(0) for s, p in zip(splits, proportions)), F.lit(0))
+    return of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"), F.count_if(F.col("k") > 1).alias("torn_groups"), off.cast("bigint").alias("splits_off"))

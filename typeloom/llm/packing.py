@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from typeloom.storage import Stage, balanced
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  # unless the session's spark.typeloom.tokenizer names another, on every executor
 BUCKET_ROWS = 50_000
 
 Pattern = tuple[dict[int, int], int]  # {size: items of that size in a container}, number of such containers
@@ -145,8 +145,9 @@ def solve(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], int]:
     return fixed + best_fit(rest, capacity), sum(n for _, n in fixed)
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of whole texts; null and empty texts have none and are left out."""
+    tokenizer = tokenizer or documents.sparkSession.conf.get("spark.typeloom.tokenizer", TOKENIZER)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -204,3 +205,16 @@ def summary(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     used = containers.agg(F.count_distinct("container_id").alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
     fill = F.round(F.try_divide(F.col("n_tokens"), F.col("n_containers") * capacity), 6)
     return used.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.lit(capacity)).alias("lower_bound"), fill.alias("fill"))
+
+
+def packing_checks(items: DataFrame, containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(n_docs, n_missing, overfull, torn, wasteful): documents packed, those whose tokens don't all stand in containers,
+    containers beyond the capacity, documents within the capacity that were split, and whether a hundredth more containers
+    than the tokens need were used."""
+    per_doc = containers.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("pieces"))
+    sized = items.groupBy("doc_id").agg(F.sum("n_tokens").alias("size")).join(per_doc, "doc_id", "left")
+    docs = sized.agg(
+        F.count("t").alias("n_docs"), F.count_if(~F.col("t").eqNullSafe(F.col("size"))).alias("n_missing"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= capacity)).alias("torn"), F.sum("size").alias("all"),
+    )
+    used = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count("*").alias("k"), F.count_if(F.col("t") > capacity).alias("overfull"))
+    return docs.crossJoin(used).select("n_docs", "n_missing", "overfull", "torn", (F.col("k") > 1.01 * F.ceil(F.col("all") / F.lit(capacity)) + 1).alias("wasteful"))  # one row each

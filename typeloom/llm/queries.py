@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from typeloom.catalog import table
 from typeloom.llm import cell_pictures, density_peaks, fixed_sample, grouped_splits, leakage, near_duplicates, packing, split_overlap, term_counts, truncation
+from typeloom.storage import Stage
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +61,10 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_splits.assign(spark, grouped)
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_splits.split_checks(p6_splits(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return density_peaks.clusters(spark, table(spark, d, "cell_grids")).select("glyph_id", "cluster_id").distinct()
 
@@ -84,6 +89,11 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p8_packed(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    items = Stage(spark, "sizes").keep(packing.token_counts(table(spark, d, "documents")), "tokens")
+    return packing.packing_checks(items, Stage(spark, "packed").keep(packing.packed(spark, items), "packed"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -111,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_counts": p5_counts,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
+    "p6_checks": p6_checks,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
     "p7_cells": p7_cells,
@@ -121,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_items": p9_items,
     "p8_packed": p8_packed,
     "p8_summary": p8_summary,
+    "p8_checks": p8_checks,
 }
 
 _VALID = "cells IS NOT NULL AND len(cells) = 256 AND NOT list_contains(list_transform(cells, lambda x: x IS NULL), true) AND list_bool_or(list_transform(cells, lambda x: x <> 0))"
@@ -208,4 +220,7 @@ ORACLE: dict[str, str] = {
     WITH RECURSIVE {_P6}
     SELECT DISTINCT record_id, coalesce(a.label, b.label) AS group_font FROM named LEFT JOIN of_font a ON a.f = named.f LEFT JOIN of_glyph b ON b.g = named.g
     WHERE coalesce(a.label, b.label) IS NOT NULL""",
+    # what must hold of results that SQL can't make
+    "p6_checks": "SELECT count(*) AS n_records, 0::BIGINT AS torn_groups, 0::BIGINT AS splits_off FROM meta_records",
+    "p8_checks": "SELECT count(*) AS n_docs, 0::BIGINT AS n_missing, 0::BIGINT AS overfull, 0::BIGINT AS torn, false AS wasteful FROM documents WHERE text <> ''",
 }

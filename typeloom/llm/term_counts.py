@@ -43,38 +43,60 @@ def dictionary(stage: Stage, terms: DataFrame) -> tuple[DataFrame, int]:
     return local.join(F.broadcast(base), "part").select("term", (F.col("at") + F.col("base")).alias("code")), total
 
 
+_SUMS = "range_id bigint, spots array<int>, occurrences array<bigint>, records array<bigint>"
+
+
+def _by_range(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, used places, sums) from (range, place, occurrences, records) in order of the range; one count array is held."""
+    now, sums = -1, np.zeros((2, RANGE), np.int64)
+    for ranges, spots, n, present in batches:
+        cuts = np.nonzero(np.diff(ranges, prepend=-1))[0]
+        for a, b in zip(cuts, np.append(cuts[1:], len(ranges))):
+            if ranges[a] != now:
+                if (used := np.nonzero(sums[0])[0]).size:
+                    yield now, used, sums[:, used]
+                now, sums = int(ranges[a]), np.zeros((2, RANGE), np.int64)
+            np.add.at(sums[0], spots[a:b], n[a:b])
+            np.add.at(sums[1], spots[a:b], present[a:b])
+    if (used := np.nonzero(sums[0])[0]).size:
+        yield now, used, sums[:, used]
+
+
 def block_arrays(encoded: DataFrame) -> DataFrame:
-    """(range_id, occurrences, records): count arrays of each task, one for every identifier range it met."""
+    """(range_id, spots, occurrences, records): the counts of each task, a row for every identifier range it met.
+
+    A task sorts its rows by code and so holds one count array at a time, however many terms there are. Only used places
+    are passed on.
+    """
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            code, n, present = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            ranges = code // RANGE
-            order = np.argsort(ranges, kind="stable")
-            cuts = np.nonzero(np.diff(ranges[order], prepend=-1))[0]
-            for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-                at = order[a:b]
-                spot = code[at] % RANGE
-                sums = held.setdefault(int(ranges[at[0]]), np.zeros((2, RANGE), np.int64))
-                np.add.at(sums[0], spot, n[at])
-                np.add.at(sums[1], spot, present[at])
-        for key, sums in held.items():
-            yield pa.RecordBatch.from_pydict({"range_id": pa.array([key], pa.int64()), "occurrences": [sums[0].tolist()], "records": [sums[1].tolist()]})
-
-    return encoded.select("code", "n", "present").mapInArrow(accumulate, "range_id bigint, occurrences array<bigint>, records array<bigint>")
+        columns = ((b.column(i).to_numpy(zero_copy_only=False) for i in range(3)) for b in batches if b.num_rows)
+        for key, used, sums in _by_range((code // RANGE, code % RANGE, n, present) for code, n, present in columns):
+            yield pa.RecordBatch.from_pydict(
+                {"range_id": pa.array([key], pa.int64()), "spots": pa.array([used], pa.list_(pa.int32())), "occurrences": pa.array([sums[0]], pa.list_(pa.int64())), "records": pa.array([sums[1]], pa.list_(pa.int64()))}
+            )
+
+    return encoded.select("code", "n", "present").sortWithinPartitions("code").mapInArrow(accumulate, _SUMS)
 
 
 def summed(arrays: DataFrame) -> DataFrame:
-    """(code, occurrences, records): the arrays of a range added up; a range has at most one array a task."""
+    """(code, occurrences, records): arrays of a range added up as they come, one range at a time.
+
+    A range has at most one array a task, whatever share of all rows its terms have.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                if b.num_rows:
+                    spots, n, present = (b.column(i).flatten().to_numpy() for i in (1, 2, 3))
+                    yield np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())), spots, n, present
 
-    def add(rows: pa.Table) -> pa.Table:
-        sums = [np.sum([np.array(x) for x in rows[name].to_pylist()], axis=0) for name in ("occurrences", "records")]
-        codes = rows["range_id"][0].as_py() * RANGE + np.arange(RANGE, dtype=np.int64)
-        used = sums[0] > 0
-        return pa.table({"code": codes[used], "occurrences": sums[0][used], "records": sums[1][used]})
+        for key, used, sums in _by_range(rows()):
+            yield pa.RecordBatch.from_arrays([pa.array(key * RANGE + used), pa.array(sums[0]), pa.array(sums[1])], ["code", "occurrences", "records"])
 
-    return arrays.groupBy("range_id").applyInArrow(add, "code bigint, occurrences bigint, records bigint")
+    parted = arrays.repartition("range_id").sortWithinPartitions("range_id")
+    return parted.mapInArrow(add, "code bigint, occurrences bigint, records bigint")
 
 
 def term_counts(spark: SparkSession, rows: DataFrame, occurrence: str, record: str, term: str, min_records: int = MIN_RECORDS, max_share: float = MAX_SHARE) -> DataFrame:
