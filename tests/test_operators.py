@@ -252,3 +252,29 @@ def test_schedules(spark):
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate([5.0, 4.0, 4.0, 4.5, 4.0, 3.0])], "run string, epoch int, loss double")
     assert series.early_stop(df, "run", "epoch", "loss", 0.1, 2, mode="min").first()[:] == ("r", 4.0, 3)
     assert series.plateau_rates(df, "run", "epoch", "loss", 1.0, 0.5, 1).first().rates == [1.0, 1.0, 1.0, 0.5, 0.5, 0.5]
+
+
+def test_grid_network_equals_plain_loops():
+    import math
+
+    rng = np.random.default_rng(6)
+    layer = lambda o, c, k, stride=1: {"kernel": rng.normal(size=(o, c, k, k)), "scale": rng.random(o), "shift": rng.normal(size=o), "stride": stride}
+    x = rng.normal(size=(2, 3, 6, 6))
+    one = layer(4, 3, 3, 2)
+    got = models.convolved(x, one)
+    assert got.shape == (2, 4, 3, 3)
+    for o in range(4):
+        for r in range(3):
+            for c in range(3):
+                total = sum(
+                    one["kernel"][o, k, i, j] * x[1, k, 2 * r + i - 1, 2 * c + j - 1] for k in range(3) for i in range(3) for j in range(3) if 0 <= 2 * r + i - 1 < 6 and 0 <= 2 * c + j - 1 < 6
+                )
+                assert abs(got[1, o, r, c] - (total * one["scale"][o] + one["shift"][o])) < 1e-9
+    assert all(abs(models._gelu(np.array([v]))[0] - v * (1 + math.erf(v / math.sqrt(2))) / 2) < 1e-6 for v in (-3.0, -0.5, 0.0, 0.7, 4.0))
+    weights = {"embed": rng.normal(size=(50, 3)), "stem": layer(4, 3, 3), "stages": [[layer(4, 4, 3), layer(4, 4, 3)], layer(6, 4, 3, 2)], "norm": np.ones(6), "shift": np.zeros(6), "head": rng.normal(size=(5, 6)), "bias": np.zeros(5)}
+    out = models.grid_network(weights, "relu", unit=True)(rng.integers(0, 50, (7, 256)))
+    assert out.shape == (7, 5) and np.isfinite(out).all()
+    same = {**weights, "stages": [[{**weights["stages"][0][0]}, {**weights["stages"][0][1], "scale": np.zeros(4), "shift": np.zeros(4)}]] + weights["stages"][1:]}
+    plain = {**weights, "stages": weights["stages"][1:]}
+    tokens = rng.integers(0, 50, (3, 256))
+    assert np.allclose(models.grid_network(same)(tokens), models.grid_network(plain)(tokens))  # a residual block that adds nothing

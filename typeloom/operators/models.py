@@ -172,6 +172,50 @@ def cell_network(weights: dict[str, np.ndarray]) -> Callable[[np.ndarray], np.nd
     return forward
 
 
+def _gelu(x: np.ndarray) -> np.ndarray:
+    """x * Phi(x), with an approximation of the error function that is off by 1.5e-7 at most (Abramowitz and Stegun 7.1.26)."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    return x * np.where(x >= 0, 1 - tail / 2, tail / 2)
+
+
+def convolved(x: np.ndarray, layer: dict) -> np.ndarray:
+    """Odd square kernel, zeros around the edge, stride, then a scale and shift a channel (folded batch norm)."""
+    kernel, stride = layer["kernel"], layer.get("stride", 1)
+    size = kernel.shape[2]
+    pad = size // 2
+    padded = np.pad(x, ((0, 0), (0, 0), (pad, pad), (pad, pad)))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(2, 3))[:, :, ::stride, ::stride]
+    return np.einsum("nchwij,ocij->nohw", windows, kernel, optimize=True) * layer["scale"][:, None, None] + layer["shift"][:, None, None]
+
+
+def grid_network(weights: dict, activation: str = "gelu", unit: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """The forward pass of a convolutional classifier of 16x16 token grids: embedding, stem, stages, mean over places, head.
+
+    ``weights``: embed (vocabulary, d); stem, a layer of kernel (o, d, k, k), scale, shift (o) and stride; stages, a list whose
+    entries are one layer (a change of width or size) or a pair of them (a residual block: x plus both in turn); norm, shift
+    (c) of the head's layer norm; head (k, c or h), bias; with a hidden layer also dense (h, c), dense_bias. ``unit``: token
+    vectors are scaled to length 1.
+    """
+    act = {"gelu": _gelu, "relu": lambda x: np.maximum(x, 0)}[activation]
+
+    def forward(tokens: np.ndarray) -> np.ndarray:
+        x = weights["embed"][tokens.astype(np.int64)]
+        if unit:
+            x = x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+        x = act(convolved(x.reshape(len(x), 16, 16, -1).transpose(0, 3, 1, 2), weights["stem"]))
+        for step in weights["stages"]:
+            x = act(convolved(x, step)) if isinstance(step, dict) else x + act(convolved(act(convolved(x, step[0])), step[1]))
+        y = x.mean(axis=(2, 3))
+        y = (y - y.mean(-1, keepdims=True)) / np.sqrt(y.var(-1, keepdims=True) + 1e-5) * weights["norm"] + weights["shift"]
+        if "dense" in weights:
+            y = act(y @ weights["dense"].T + weights["dense_bias"])
+        return y @ weights["head"].T + weights["bias"]
+
+    return forward
+
+
 def transformer_network(weights: dict, heads: int, pool: str = "mean") -> Callable[[np.ndarray], np.ndarray]:
     """The forward pass of a grid transformer over 256 tokens: embedding plus position code, pre-norm encoder layers, pooling, head.
 
