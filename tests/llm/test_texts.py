@@ -102,6 +102,9 @@ def test_truncation(spark):
         wide = "ä" * rng.randint(0, 5) + text
         raw = wide.encode()[:200].decode(errors="ignore")
         add(raw, "bytes", len(wide.encode()) > 200 and not raw.rstrip().endswith("."))
+        moved = sentences(rng, rng.randint(1, 60)).encode()
+        moved = moved[: len(moved) // 256 * 256] if i % 3 and len(moved) > 256 else moved
+        add(moved.decode(), "mirror", not moved.rstrip().endswith(b"."))
         add(text + rng.choice(["", "", "\n\n-- the team", "\n\nStatus: open", "\n\n```\nrun --x\n```", "\n| a | 3 |", " To be seen ...", "\n- ask the desk"]), "free")
     for tail in ("The contour hol", "The contour of the ", "The outer ring…", "Each scan line [...]", "Some lower edge ...", "The cont&am", "The c<b", "```\nrun --x"):
         add(sentences(rng, 3) + "\n" + tail, "free", True)
@@ -117,4 +120,6 @@ def test_truncation(spark):
     report = {r.source: r for r in truncation.report(out).collect()}
     assert (report["limited"].unit, report["limited"].limit) == ("chars", 300) and report["bytes"].unit == "bytes" and report["free"].unit is None
     assert report[None].n_cut == 1
+    assert report["mirror"].block == 256 and report["mirror"].n_limit == report["mirror"].n_cut > 50 and report["free"].block is None
+    assert report["free"].n_transfer == report["free"].n_cut and all(r.n_limit + r.n_transfer == r.n_cut for r in report.values())
     assert truncation.truncated(spark, df.limit(0)).count() == 0

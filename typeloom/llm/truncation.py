@@ -13,6 +13,8 @@ SPIKE = 8.0  # times as many as lengths below the limit would lead one to expect
 MIN_CLOSING_SHARE = 0.005  # of the texts without a sentence's end that end in the same short line
 MIN_DOTS_SHARE = 0.03  # of the texts that end in dots that end in the same words
 SHORT = 60
+BLOCKS = tuple(2**i for i in range(6, 17))  # bytes that a transfer may move at once
+CLEAR = 0.9  # of the most excess lengths that any block size explains
 
 _DOTS = r"(?:…|\.{3,}|\[\s*(?:…|\.{3,})\s*\]|\(\s*(?:…|\.{3,})\s*\))"
 _TAIL = r"(?:[\s\x{200b}\x{feff}]|<[^<>\n]{1,40}>|&[a-z]{2,8};)+$"
@@ -75,6 +77,25 @@ def limits(rows: DataFrame) -> DataFrame:
     return spikes.groupBy("source").agg(F.max_by(F.struct("unit", "at"), F.col("here") * F.when(F.col("unit") == "chars", 1.1).otherwise(1.0)).alias("x")).select("source", "x.unit", "x.at")
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """(source, block): the sources that were cut in transfer at whole blocks of bytes.
+
+    For each block size the different texts whose length is a multiple of it are held against the number that chance would
+    give. Of the sizes with a spike, the largest that explains nearly as many as any counts: multiples of 512 are multiples
+    of 256 as well, and the other way round only half are.
+    """
+    texts = rows.filter("bytes > 0").groupBy("source", "content").agg(F.max("bytes").alias("bytes"))
+    sums = texts.groupBy("source").agg(
+        *[F.count_if(F.col("bytes") % b == 0).alias(f"k{b}") for b in BLOCKS], *[F.count_if(F.col("bytes") >= b).alias(f"n{b}") for b in BLOCKS]
+    )
+    one = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.col(f"k{b}").alias("k"), (F.col(f"n{b}") / b).alias("chance")) for b in BLOCKS])).alias("x")
+    spikes = sums.select("source", one).select("source", "x.*").filter((F.col("k") >= MIN_AT_LIMIT) & (F.col("k") >= SPIKE * F.col("chance")))
+    excess = spikes.withColumn("excess", F.col("k") - F.col("chance"))
+    best = excess.groupBy(F.col("source").alias("s")).agg(F.max("excess").alias("most"))
+    clear = excess.join(best, F.col("source").eqNullSafe(F.col("s"))).filter(F.col("excess") >= CLEAR * F.col("most"))
+    return clear.groupBy("source").agg(F.max("block").alias("block"))
+
+
 def formulas(rows: DataFrame, end: str, share: float) -> DataFrame:
     """(line): short last lines (or last words before dots) that so many different texts end in, mostly away from limits.
 
@@ -87,21 +108,26 @@ def formulas(rows: DataFrame, end: str, share: float) -> DataFrame:
 
 
 def truncated(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
-    """(key, source, at_limit, cut, unit, at) for every text that isn't null.
+    """(key, source, at_limit, cut, kind, unit, at, block) for every text that isn't null.
 
     A text is cut if it ends without the end of a sentence, or inside a code block. Blanks and tags at the end don't
     matter, and dots only say something if they are a habit: texts that end in dots after words that many different texts
     end in are whole, as are those that end in a line that many end in (sign-offs, states, list entries, references), in a
     table row or a closed code block. Away from the source's limit a short sign-off, state or lower-case list entry is
-    taken for whole even if it is seen once. At a limit, only the end of a sentence or a habitual line counts. Empty and
-    blank texts are whole. A null source is a source of its own. Repeated rows each get a row. An empty table gives no rows.
+    taken for whole even if it is seen once. At a limit, only the end of a sentence or a habitual line counts. A limit is a
+    spike at the source's longest text (``unit``, ``at``) or at multiples of a ``block`` of bytes. ``kind`` says of a cut
+    text whether its length is at a limit (``limit``) or not (``transfer``). Empty and blank texts are whole. A null source
+    is a source of its own. Repeated rows each get a row. An empty table gives no rows.
     """
     stage = Stage(spark, "truncation")
     rows = stage.keep(features(documents, key, source, column), "features")
     found = stage.keep(limits(rows), "limits")
+    moved = stage.keep(blocks(rows), "blocks")
     there = F.when(F.col("unit") == "chars", F.col("chars") >= F.col("at")).when(F.col("unit") == "bytes", F.col("bytes") >= F.col("at") - TOLERANCE)
+    there = F.coalesce(there, F.lit(False)) | F.coalesce((F.col("bytes") > 0) & (F.col("bytes") % F.col("block") == 0), F.lit(False))
     joined = rows.join(found.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = stage.keep(joined.withColumn("at_limit", F.coalesce(there, F.lit(False))), "placed")
+    joined = joined.join(moved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    rows = stage.keep(joined.withColumn("at_limit", there), "placed")
     dots = formulas(rows, "dots", MIN_DOTS_SHARE).select(F.lit("dots").alias("e"), F.col("line").alias("l"))
     lines = formulas(rows, "none", MIN_CLOSING_SHARE).select(F.lit("none").alias("e"), F.col("line").alias("l"))
     habits = F.broadcast(dots.unionByName(lines).withColumn("habit", F.lit(True)))  # at most 1/MIN_DOTS_SHARE + 1/MIN_CLOSING_SHARE rows
@@ -112,12 +138,14 @@ def truncated(spark: SparkSession, documents: DataFrame, key: str = "doc_id", so
         | F.coalesce("habit", F.lit(False))
         | ((F.col("end") == "none") & ~F.col("at_limit") & F.coalesce(closing, F.lit(False)))
     )
-    return known.select(F.col("key").alias(key), F.col("source").alias(source), "at_limit", (~whole).alias("cut"), "unit", "at")
+    kind = F.when(~whole, F.when(F.col("at_limit"), "limit").otherwise("transfer"))
+    return known.select(F.col("key").alias(key), F.col("source").alias(source), "at_limit", (~whole).alias("cut"), kind.alias("kind"), "unit", "at", "block")
 
 
 def report(found: DataFrame, source: str = "source") -> DataFrame:
-    """(source, n_docs, n_cut, share, unit, limit) for each source; unit and limit are null where lengths show no spike."""
+    """(source, n_docs, n_cut, n_limit, n_transfer, share, unit, limit, block) for each source; unit, limit and block are null
+    where lengths show no such spike."""
     return found.groupBy(source).agg(
-        F.count("*").alias("n_docs"), F.count_if("cut").alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"),
-        F.first("unit").alias("unit"), F.first("at").alias("limit"),
+        F.count("*").alias("n_docs"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("kind") == "limit").alias("n_limit"), F.count_if(F.col("kind") == "transfer").alias("n_transfer"),
+        F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"), F.first("unit").alias("unit"), F.first("at").alias("limit"), F.first("block").alias("block"),
     )
