@@ -189,7 +189,8 @@ def similar_pairs(
         crowded = first.filter(F.col("rank") == STARS + 2).select("bucket")
         if not crowded.limit(1).count():
             break
-        entries = stage.keep(entries.join(crowded, "bucket", "left_semi"), "crowded")
+        entries, done = stage.keep(entries.join(crowded, "bucket", "left_semi"), "crowded"), entries
+        stage.drop(done)  # the largest table of all; links are written already
         asked = _edges(entries, first.filter(F.col("rank") <= ASKED).join(crowded, "bucket", "left_semi"), 0.0)
         hits = asked.join(parts[-1].select("id_a", "id_b", F.lit(1).alias("hit")), ["id_a", "id_b"], "left")
         dense = hits.groupBy("bucket").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
