@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import GRID, valid
-from typeloom.llm import density_peaks, fm_index, grids, lsh, near_duplicates, split_overlap
+from typeloom.llm import density_peaks, fm_index, lsh, near_duplicates, split_overlap
 from typeloom.llm.graph import min_label_components
 from typeloom.storage import Stage
 
@@ -127,9 +127,8 @@ def test_density_peaks_equal_brute_force(spark, grid_rows, grids_df):
     pixels = {c: np.unpackbits(np.array(c, np.int64).view(np.uint8)) for c in copies}
     sim = {(a, b): (pixels[a] & pixels[b]).sum() / (pixels[a] | pixels[b]).sum() for a in copies for b in copies if a != b}
     rho = {a: len(copies[a]) + sum(len(copies[b]) for b in copies if a != b and sim[a, b] >= 0.7) for a in copies}
-    named = {tuple(r.cells): bytes(r.fp) for r in grids.pictures(spark.createDataFrame(rows, GRID)).distinct().collect()}
-    dense = {a: (rho[a], named[a]) for a in copies}
-    up = {a: max(((sim[a, b], rho[b], named[b], b) for b in copies if a != b and sim[a, b] >= 0.7 and dense[b] > dense[a]), default=None) for a in copies}
+    dense = {a: (rho[a], min(copies[a])) for a in copies}
+    up = {a: max(((sim[a, b], rho[b], min(copies[b]), b) for b in copies if a != b and sim[a, b] >= 0.7 and dense[b] > dense[a]), default=None) for a in copies}
     peaks = {a for a in copies if rho[a] >= 3 and (up[a] is None or 1 - up[a][0] >= density_peaks.DELTA)}
     top = {a: a for a in copies}
     for a in copies:

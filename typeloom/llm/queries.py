@@ -70,7 +70,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return density_peaks.described(density_peaks.clusters(spark, table(spark, d, "cell_grids")))
+    found = density_peaks.described(density_peaks.clusters(spark, table(spark, d, "cell_grids")))
+    return found.withColumn("typical", F.array_join("typical", ","))
 
 
 def p7_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +168,12 @@ _P7 = f"""
     ends AS (SELECT p, q, sim FROM links UNION ALL SELECT q, p, sim FROM links),
     joined AS (SELECT p, q FROM ends UNION SELECT a.pic, b.pic FROM named a JOIN named b ON a.glyph_id = b.glyph_id AND a.pic <> b.pic)"""
 
+_P7_LABELS = """
+    reach AS (SELECT p, q FROM joined UNION SELECT r.p, j.q FROM reach r JOIN joined j ON r.q = j.p),
+    label AS (SELECT pic, least(pic, coalesce(min(q), pic)) AS label FROM u LEFT JOIN reach ON p = pic GROUP BY pic),
+    placed AS (SELECT DISTINCT glyph_id, label FROM named JOIN label USING (pic)),
+    sizes AS (SELECT label, min(glyph_id) AS cluster_id FROM placed GROUP BY label HAVING count(DISTINCT glyph_id) >= 3)"""
+
 _P5 = """
     places AS (SELECT DISTINCT cell_id, glyph_id, primitive_id FROM cells WHERE primitive_id NOT IN (-1, 65535) AND cell_id IS NOT NULL),
     n AS (SELECT count(DISTINCT glyph_id) AS n FROM places),
@@ -209,12 +216,19 @@ ORACLE: dict[str, str] = {
     ORDER BY position LIMIT 1000""",
     "p5_found": f"WITH {_P5} SELECT primitive_id, mark FROM p5 WHERE mark IS NOT NULL",
     "p5_counts": f"WITH {_P5} SELECT * FROM p5",
+    "p7_clusters": f"""
+    WITH RECURSIVE {_P7}, {_P7_LABELS},
+    rho AS (SELECT a.pic, a.g, a.copies + coalesce(sum(b.copies), 0)::BIGINT AS rho FROM u a LEFT JOIN ends ON p = a.pic LEFT JOIN u b ON b.pic = q GROUP BY a.pic, a.g, a.copies),
+    up AS (SELECT e.p, arg_max(e.q, {{'s': sim, 'r': b.rho, 'g': b.g}}) AS q, 1 - max(sim) AS delta FROM ends e JOIN rho a ON a.pic = e.p JOIN rho b ON b.pic = e.q WHERE b.rho > a.rho OR (b.rho = a.rho AND b.g > a.g) GROUP BY e.p),
+    pts AS (SELECT pic, g, rho, delta, q, rho >= 3 AND (delta IS NULL OR delta >= 0.2::DOUBLE) AS is_peak FROM rho LEFT JOIN up ON p = pic),
+    step AS (SELECT pic, CASE WHEN is_peak OR q IS NULL THEN pic ELSE q END AS next FROM pts),
+    walk AS (SELECT pic, next FROM step UNION SELECT w.pic, s.next FROM walk w JOIN step s ON s.pic = w.next),
+    tops AS (SELECT w.pic, w.next AS top FROM walk w JOIN step s ON s.pic = w.next AND s.next = s.pic),
+    one AS (SELECT top, glyph_id, max(rho) AS r FROM named JOIN tops USING (pic) JOIN pts USING (pic) GROUP BY 1, 2)
+    SELECT t.g AS peak_id, z.cluster_id, count(*) AS size, t.rho, round(t.delta, 9) AS delta, array_to_string(list(one.glyph_id ORDER BY r DESC, one.glyph_id)[1:3], ',') AS typical
+    FROM pts t JOIN one ON one.top = t.pic JOIN label USING (pic) JOIN sizes z USING (label) WHERE t.is_peak GROUP BY t.pic, t.g, z.cluster_id, t.rho, t.delta""",
     "p7_found": f"""
-    WITH RECURSIVE {_P7},
-    reach AS (SELECT p, q FROM joined UNION SELECT r.p, j.q FROM reach r JOIN joined j ON r.q = j.p),
-    label AS (SELECT pic, least(pic, coalesce(min(q), pic)) AS label FROM u LEFT JOIN reach ON p = pic GROUP BY pic),
-    placed AS (SELECT DISTINCT glyph_id, label FROM named JOIN label USING (pic)),
-    sizes AS (SELECT label, min(glyph_id) AS cluster_id FROM placed GROUP BY label HAVING count(DISTINCT glyph_id) >= 3)
+    WITH RECURSIVE {_P7}, {_P7_LABELS}
     SELECT DISTINCT glyph_id, cluster_id FROM placed JOIN sizes USING (label)""",
     "p6_found": f"""
     WITH RECURSIVE {_P6}
