@@ -278,3 +278,15 @@ def test_grid_network_equals_plain_loops():
     plain = {**weights, "stages": weights["stages"][1:]}
     tokens = rng.integers(0, 50, (3, 256))
     assert np.allclose(models.grid_network(same)(tokens), models.grid_network(plain)(tokens))  # a residual block that adds nothing
+
+
+def test_coverage_and_lookups(spark):
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "k long")
+    labels, grids_ = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, label string"), spark.createDataFrame([(2,), (2,), (3,)], "k long")
+    assert rows(quality.covered(ids, "k", labels, grids_)) == [(2,), (3,)]
+    assert rows(quality.uncovered(ids, "k", label=labels, grid=grids_)) == [(1, "grid"), (4, "label")]
+    with pytest.raises(ValueError):
+        quality.covered(ids, "k", labels.limit(0))
+    assert rows(quality.looked_up(ids.filter("k < 3"), "k", labels, "label")) == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="no label for k 3"):
+        quality.looked_up(ids, "k", labels, "label").collect()

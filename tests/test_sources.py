@@ -44,6 +44,7 @@ def test_tolerant_text_files(spark, tmp_path):
     assert sorted(r.id for r in files.id_list(spark, str(tmp_path / "ids.txt")).collect()) == [1, 22]
     (tmp_path / "c.csv").write_text('label,base\n"a,b",x\n ,y\nc,z\n')
     assert sorted(r.label for r in files.label_rows(spark, str(tmp_path / "c.csv")).collect()) == ["a,b", "c"]
+    assert files.blank_labels(spark, str(tmp_path / "c.csv")) == 1
     (tmp_path / "map.json").write_text(json.dumps({"a": 0, "c": 2}))
     assert sorted(tuple(r) for r in files.label_map(spark, str(tmp_path / "map.json")).collect()) == [(0, "a"), (1, "<UNK_1>"), (2, "c")]
     (tmp_path / "log.csv").write_text("epoch,phase,macro_f1,loss\n1,train,,0.5\nx,val,1,1\n1,val,0.7,oops\n")
@@ -139,3 +140,12 @@ def test_ids_and_weights(spark, tmp_path):
     sinks.weights(spark, arrays, str(tmp_path / "m"))
     again = files.weights(spark, str(tmp_path / "m"))
     assert again.keys() == arrays.keys() and all((again[k] == arrays[k]).all() for k in arrays)
+
+
+def test_missing_grids(spark):
+    grids = spark.createDataFrame([(1, [3] * 256)], "glyph_id long, grid array<int>")
+    ids = spark.createDataFrame([(1,), (2,)], "i int")
+    assert {r.glyph_id: sum(r.grid) for r in files.grids_of(grids, ids, "zeros").collect()} == {1: 768, 2: 0}
+    with pytest.raises(Exception, match="no grid for 2"):
+        files.grids_of(grids, ids).collect()
+    assert files.grids_of(grids, ids.limit(0)).count() == 0

@@ -29,6 +29,11 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").try_cast("bigint").alias("id")).filter("id IS NOT NULL")
 
 
+def blank_labels(spark: SparkSession, path: str) -> int:
+    """How many rows of a headed CSV file ``label_rows`` leaves out."""
+    return spark.read.option("header", True).csv(path).filter(F.coalesce(F.trim("label"), F.lit("")) == "").count()
+
+
 def label_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a headed CSV file with a ``label`` that isn't blank."""
     rows = spark.read.option("header", True).csv(path)
@@ -122,6 +127,19 @@ def assignments(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return typed.filter(F.col("cell_id").isNotNull() & F.col("primitive_id").isNotNull() & ~F.col("primitive_id").isin(*HOLES))
 
 
+def grids_of(grids: DataFrame, ids: DataFrame, missing: str = "raise") -> DataFrame:
+    """(glyph_id, grid) for every id in the first column of ``ids``; ids without a grid raise when read, or get ``zeros``."""
+    wanted = ids.select(F.col(ids.columns[0]).cast("bigint").alias("glyph_id")).distinct()
+    if missing == "zeros":
+        default = F.array_repeat(F.lit(0), GRID_BYTES // 2)
+    elif missing == "raise":
+        default = F.raise_error(F.concat(F.lit("no grid for "), F.col("glyph_id").cast("string"))).cast("array<int>")
+    else:
+        raise ValueError(f"unknown policy {missing}")
+    found = wanted.join(grids.withColumnRenamed("grid", "__grid"), "glyph_id", "left")
+    return found.select("glyph_id", F.when(F.col("__grid").isNull(), default).otherwise(F.col("__grid")).alias("grid"))
+
+
 def grid_files(spark: SparkSession, folder: str) -> DataFrame:
     """(glyph_id, grid array<int>) of a folder of ``<id>.u16`` and ``<id>.npy`` files, ``.u16`` first; another size raises."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -146,10 +164,14 @@ def grid_files(spark: SparkSession, folder: str) -> DataFrame:
     return best.mapInPandas(decode, "glyph_id bigint, grid array<int>")
 
 
-def images(spark: SparkSession, folder: str, side: int = 128) -> DataFrame:
-    """(path, px) of single-channel pictures of side x side; others are left out."""
+def images(spark: SparkSession, folder: str, side: int = 128, other: str = "drop") -> DataFrame:
+    """(path, px) of single-channel pictures of side x side; others are left out, or raise when read (``other="raise"``)."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder).select("image.*")
-    return rows.filter((F.col("nChannels") == 1) & (F.col("width") == side) & (F.col("height") == side)).select(F.col("origin").alias("path"), F.col("data").alias("px"))
+    fits = (F.col("nChannels") == 1) & (F.col("width") == side) & (F.col("height") == side)
+    if other == "raise":
+        wrong = F.raise_error(F.concat(F.lit(f"not one channel of {side}x{side}: "), F.col("origin"))).cast("binary")
+        return rows.select(F.col("origin").alias("path"), F.when(fits, F.col("data")).otherwise(wrong).alias("px"))
+    return rows.filter(fits).select(F.col("origin").alias("path"), F.col("data").alias("px"))
 
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:
