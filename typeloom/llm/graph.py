@@ -34,15 +34,15 @@ def min_label_components(stage: Stage, edges: DataFrame, vertices: DataFrame | N
         own = labels.join(least, "id", "left").select("id", "label", F.coalesce(F.least("m", "label"), "label").alias("m"))
         own = stage.keep(own, "own")
         # hooks: what a vertex found holds for the root it hung from as well
-        hooks = own.filter("m < label").select(F.col("label").alias("id"), "m")
-        moved = own.select("id", "m").unionByName(hooks).groupBy("id").agg(F.min("m").alias("m"))
+        hooks = own.filter("m < label").select(F.col("label").alias("id"), F.lit(None).alias("label"), "m")
+        moved = own.unionByName(hooks).groupBy("id").agg(F.min("m").alias("m"), F.min("label").alias("old"))
         jump = moved.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        new = moved.join(jump, "m", "left").select("id", F.least("m", F.coalesce("mm", "m")).alias("label"))
-        new = stage.keep(new, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
+        found = F.least("m", F.coalesce("mm", "m"))
+        new = stage.keep(moved.join(jump, "m", "left").select("id", found.alias("label"), (found != F.col("old")).alias("changed")), "labels")
         stage.drop(labels)
         stage.drop(own)
-        labels = new
-        if not changed:
+        labels = new.select("id", "label")
+        labels._typeloom_path = new._typeloom_path
+        if not new.filter("changed").limit(1).count():
             return labels
     raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
