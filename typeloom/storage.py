@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ONLY = "typeloom.local.checkpoint"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,10 +66,15 @@ def open_shared(path: str) -> pa.Table | None:
 
 
 class Stage:
-    """The intermediate tables of one query. ``keep`` writes one, ``drop`` removes one that nothing reads any more."""
+    """The intermediate tables of one query. ``keep`` writes one, ``drop`` removes one that nothing reads any more.
 
-    def __init__(self, spark: SparkSession, name: str):
+    A ``tidy`` stage removes the shuffle files behind a table once it is written, instead of when the driver's garbage is
+    next collected: what is read again is the table.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         self.spark = spark
+        self.tidy = tidy
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self._n = 0
@@ -80,7 +86,14 @@ class Stage:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        if self.tidy:
+            self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         again = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(again)] = path
         again._typeloom_path = path
