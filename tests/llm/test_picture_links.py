@@ -28,6 +28,18 @@ def _links(rows):
     return {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(alike, 1)))}
 
 
+def test_density_counts_every_link_of_a_crowded_family(spark):
+    rows, n = _family(400)
+    want = _links(rows)
+    assert 20 * n < len(want) < n * (n - 1) / 2
+    rho = {g: 1 for g in range(n)}
+    for pair in want:
+        for g in pair:
+            rho[g] += 1
+    found = density_peaks.clusters(spark, spark.createDataFrame(rows, GRID)).collect()
+    assert {r.glyph_id: r.rho for r in found} == {g: x for g, x in rho.items() if x > 1}
+
+
 def _found(spark, rows):
     members, links = density_peaks.picture_links(Stage(spark, "t", tidy=True), spark.createDataFrame(rows, GRID), 0.7)
     glyph = {bytes(r.fp): r.glyph_id for r in members.collect()}

@@ -15,7 +15,7 @@ from typeloom.llm.grids import folded, pictures
 from typeloom.storage import Stage, balanced
 
 THRESHOLD = 0.7
-BANDS, ROWS = 85, 6  # a pair at 0.7 shares no block with probability 2e-5
+BANDS, ROWS = 128, 6  # a pair at 0.7 shares no block with probability 1e-7
 MIN_SIZE = 3
 TYPICAL = 3
 DELTA = 0.2  # a picture this far from every denser one is a peak of its own
