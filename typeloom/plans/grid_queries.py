@@ -50,11 +50,15 @@ def binarised_pixels(s: SparkSession, d: str) -> DataFrame:
 
 
 def stored_vs_cells(s: SparkSession, d: str) -> DataFrame:
-    """Glyphs whose stored grid and separate cells agree in every place."""
-    stored = table(s, d, "cell_grids").filter("size(cells) = 256").select("glyph_id", "cells").distinct().select("glyph_id", F.posexplode("cells").alias("at", "stored"))
-    apart = table(s, d, "cells").select("glyph_id", (F.col("cell_row") * 16 + F.col("cell_col")).cast("int").alias("at"), "mask").distinct()
-    both = apart.join(stored, ["glyph_id", "at"])
-    return both.groupBy("glyph_id").agg(F.count("*").alias("places"), F.count_if(F.col("mask").eqNullSafe(F.col("stored"))).alias("same"))
+    """Glyphs whose stored grid and separate cells agree in every place.
+
+    Grids stay whole in the join: exploded, a small file of them was taken for a small table and broadcast, all of it through the driver.
+    """
+    stored = table(s, d, "cell_grids").filter("size(cells) = 256").select("glyph_id", F.col("cells").alias("stored")).distinct()
+    at = (F.col("cell_row") * 16 + F.col("cell_col")).cast("int")
+    apart = table(s, d, "cells").select("glyph_id", at.alias("at"), "mask").filter(F.col("at").between(0, 255)).distinct()
+    both = apart.join(stored.hint("merge"), "glyph_id")
+    return both.groupBy("glyph_id").agg(F.count("*").alias("places"), F.count_if(F.col("mask").eqNullSafe(F.get("stored", F.col("at")))).alias("same"))
 
 
 def empty_flag_check(s: SparkSession, d: str) -> DataFrame:
