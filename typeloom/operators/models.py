@@ -8,14 +8,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeloom.storage import Stage
+
 OVERSIZE = 1.15
 LEAST_SHARE, LEAST_COUNT, LEAST_GAP = 0.2, 10, 0.22
 NOISE = 0.02
+STEPS, LOCAL_ROUNDS = 2, 30
+SETTLED = 1e-4
 
 
 def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -40,21 +43,125 @@ def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.
     return out
 
 
+def _points(column: pa.Array) -> np.ndarray:
+    """Rows of 64 pixels from masks, or the vectors as they are, with a last column of 1 for the norms of centres."""
+    if pa.types.is_integer(column.type):
+        x = np.unpackbits(column.to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    else:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, points, nearest centre, squared distance), 1,024 rows at a time: one single-precision product with all centres."""
+    table = np.hstack([centres, -(centres**2).sum(1)[:, None] / 2]).astype(np.float32).T.copy()
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            x = _points(part.column(0))
+            score = x.astype(np.float32) @ table
+            best = score.argmax(1)
+            x = x[:, :-1]
+            yield part, x, best, np.maximum((x**2).sum(1) - 2.0 * score[np.arange(len(x)), best], 0)
+
+
+def _vectors(rows: DataFrame) -> np.ndarray:
+    """The points of a few rows, on the driver."""
+    found = rows.select("v").toArrow().column(0).combine_chunks()
+    return _points(found)[:, :-1] if len(found) else np.zeros((0, 0))
+
+
+def _assigned(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sum of the points nearest to each centre, and their weight; one row a task comes to the driver."""
+    k, width = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, width + 1))
+        for part, x, best, _ in _blocks(batches, centres):
+            w = part.column(1).to_numpy()
+            order = np.argsort(best, kind="stable")
+            starts = np.nonzero(np.r_[True, np.diff(best[order]) > 0])[0]
+            total[best[order][starts]] += np.add.reduceat(np.hstack([x * w[:, None], w[:, None]])[order], starts)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    total = sum(np.frombuffer(r["total"]).reshape(k, width + 1) for r in data.select("v", "weight").mapInArrow(run, "total binary").toLocalIterator())
+    return total[:, :-1], total[:, -1]
+
+
+def _starts(data: DataFrame, k: int, seed: int) -> np.ndarray:
+    """k-means|| over ``data(v, weight, h)``: in each of STEPS rounds every point is drawn with its share of the cost, 2k in all;
+    k of the drawn, weighted by the points nearest to them, are left by k-means++ and a few rounds among them."""
+    centres = _vectors(data.orderBy("h", "v").limit(1))
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, _, d2 in _blocks(batches, centres):
+            yield pa.RecordBatch.from_arrays([pa.array([float((part.column(1).to_numpy() * d2).sum())])], ["c"])
+
+    for step in range(STEPS):
+        total = data.select("v", "weight").mapInArrow(costs, "c double").agg(F.sum("c")).first()[0]
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _, _, d2 in _blocks(batches, centres):
+                h = (part.column(2).to_numpy().view(np.uint64) ^ np.uint64(step + 1)) * np.uint64(0x9E3779B97F4A7C15)  # noqa: B023
+                u = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / 2.0**53
+                yield part.filter(pa.array(u < 2.0 * k * part.column(1).to_numpy() * d2 / max(total, 1e-300)))  # noqa: B023
+
+        new = _vectors(data.mapInArrow(drawn, data.schema))
+        centres = np.unique(np.vstack([centres, new]) if len(new) else centres, axis=0)
+    if len(centres) < k:  # too few were drawn: points in the order of their hashes
+        more = _vectors(data.orderBy("h", "v").limit(k + len(centres)))
+        fresh = [v for v in more if not (centres == v).all(1).any()]
+        return np.vstack([centres, *fresh])[:k]
+    weights = _assigned(data, centres)[1]
+    rng = np.random.default_rng(seed)
+    norms = (centres**2).sum(1)
+    chosen = [int(rng.choice(len(centres), p=weights / weights.sum()))]
+    d2 = np.full(len(centres), np.inf)
+    while len(chosen) < k:
+        d2 = np.minimum(d2, np.maximum(norms + norms[chosen[-1]] - 2 * centres @ centres[chosen[-1]], 0))
+        d2[chosen] = 0
+        p = weights * d2
+        p = p if p.sum() > 0 else np.where(np.isin(np.arange(len(centres)), chosen), 0.0, 1.0)
+        chosen.append(int(rng.choice(len(centres), p=p / p.sum())))
+    out = centres[chosen]
+    for _ in range(LOCAL_ROUNDS):
+        near = (centres @ out.T - (out**2).sum(1) / 2).argmax(1)
+        w = np.bincount(near, weights, k)
+        sums = np.zeros_like(out)
+        np.add.at(sums, near, centres * weights[:, None])
+        new = np.where(w[:, None] > 0, sums / np.maximum(w, 1e-300)[:, None], out)
+        if np.array_equal(new, out):
+            break
+        out = new
+    return out
+
+
 def vocabulary(spark: SparkSession, points: DataFrame, vector: str, k: int, seed: int = 0, iterations: int = 20, weight: str | None = None) -> DataFrame:
     """(centroid_id, v): k centroids from over-clustering and pruning, after the all-zero EMPTY centroid of id 0.
 
-    ``weight``: a column with the number of points that a row stands for, in the means as in the populations.
+    ``vector`` holds arrays or 64-pixel masks. ``weight``: a column with the number of points that a row stands for, in the means as in
+    the populations. Rounds of Lloyd's method go on until no centre moves by more than SETTLED, or for ``iterations``.
     """
     times = (F.col(weight) if weight else F.lit(1)).cast("double").alias("weight")
-    data = points.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), times)
-    data = data.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    mask = dict(points.dtypes)[vector] == "bigint"
+    own = points.filter(F.col(vector).isNotNull()).select((F.col(vector) if mask else F.col(vector).cast("array<double>")).alias("v"), times)
+    stage = Stage(spark, "vocabulary")
+    # as many files as cores, so that each round's scan takes all of them
+    data = own.groupBy("v").agg(F.sum("weight").alias("weight")).filter("weight > 0").withColumn("h", F.xxhash64("v", F.lit(seed)))
+    data = stage.keep(data.repartition(spark.sparkContext.defaultParallelism), "points")
     first = math.ceil(OVERSIZE * k)
-    few = points.select(vector).distinct().limit(4 * first + 1).count() <= 4 * first  # of few points may come fewer centres, at which Spark's block solver fails
-    model = KMeans(k=first, seed=seed, maxIter=iterations, weightCol="weight", solver="row" if few else "auto").fit(data)
-    centres = np.array(model.clusterCenters())
-    population = np.zeros(len(centres), np.int64)
-    for r in model.transform(data).groupBy("prediction").agg(F.sum("weight").alias("n")).collect():  # one row a centre
-        population[r["prediction"]] = r["n"]
+    centres = _starts(data, first, seed) if data.count() > first else _vectors(data.orderBy("h", "v"))
+    if not len(centres):
+        raise ValueError("no points")
+    for _ in range(iterations):
+        sums, population = _assigned(data, centres)
+        new = np.where(population[:, None] > 0, sums / np.maximum(population, 1e-300)[:, None], centres)
+        moved = ((new - centres) ** 2).sum(1).max()
+        centres = new
+        if moved <= SETTLED**2:
+            break
+    population = np.rint(_assigned(data, centres)[1]).astype(np.int64)
+    stage.close()
     kept = prune(centres, population, k, seed)
     rows = [(0, [0.0] * kept.shape[1])] + [(i + 1, [float(x) for x in v]) for i, v in enumerate(kept)]
     return spark.createDataFrame(rows, "centroid_id bigint, v array<double>")

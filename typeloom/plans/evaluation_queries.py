@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.catalog import table
-from typeloom.functions import bits, text, vectors
+from typeloom.functions import text, vectors
 from typeloom.operators import counts, evaluation, models, nearest
 from typeloom.plans import grid_queries
 from typeloom.storage import Stage
@@ -129,7 +129,7 @@ def confidence_flags(s: SparkSession, d: str) -> DataFrame:
 def kmeans_vocabulary(s: SparkSession, d: str) -> DataFrame:
     """A vocabulary of 1,023 cell pictures and EMPTY; a mask weighs as many as its distinct cells."""
     masks = table(s, d, "cells").filter("mask <> 0 AND cell_id IS NOT NULL").select("cell_id", "mask").distinct().groupBy("mask").agg(F.count("*").alias("n"))
-    return models.vocabulary(s, masks.select(bits.unpack(F.col("mask")).alias("v"), "n"), "v", VOCABULARY, seed=1, iterations=ITERATIONS, weight="n")
+    return models.vocabulary(s, masks, "mask", VOCABULARY, seed=1, iterations=ITERATIONS, weight="n")
 
 
 def mlp_predict(s: SparkSession, d: str) -> DataFrame:
