@@ -12,13 +12,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.storage import Stage
+from typeloom.storage import Stage, open_shared, write_shared
 
 OVERSIZE = 1.15
 LEAST_SHARE, LEAST_COUNT, LEAST_GAP = 0.2, 10, 0.22
 NOISE = 0.02
 STEPS, LOCAL_ROUNDS = 2, 30
 SETTLED = 1e-4
+PART, CHUNK = 262_144, 512  # points that a task of a round holds, and that meet the same candidates
 
 
 def prune(centres: np.ndarray, population: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -72,7 +73,7 @@ def _vectors(rows: DataFrame) -> np.ndarray:
 
 
 def _assigned(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted sum of the points nearest to each centre, and their weight; one row a task comes to the driver."""
+    """The weighted sum of the points nearest to each centre, and their weight; one row a task comes to the driver, all tasks at a time."""
     k, width = centres.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def _assigned(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
             total[best[order][starts]] += np.add.reduceat(np.hstack([x * w[:, None], w[:, None]])[order], starts)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    total = sum(np.frombuffer(r["total"]).reshape(k, width + 1) for r in data.select("v", "weight").mapInArrow(run, "total binary").toLocalIterator())
+    total = sum(np.frombuffer(r["total"]).reshape(k, width + 1) for r in data.select("v", "weight").mapInArrow(run, "total binary").collect())
     return total[:, :-1], total[:, -1]
 
 
@@ -136,6 +137,134 @@ def _starts(data: DataFrame, k: int, seed: int) -> np.ndarray:
     return out
 
 
+def _sums(x: np.ndarray, w: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, rows): for each centre in ``near`` the weighted sum of its points, their weight and their number."""
+    order = np.argsort(near, kind="stable")
+    starts = np.nonzero(np.r_[True, np.diff(near[order]) > 0])[0]
+    return near[order][starts], np.add.reduceat(np.hstack([x * w[:, None], w[:, None], np.sign(w)[:, None]])[order], starts)
+
+
+def _reach(column: pa.Array, near: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The squared distance from a point's own centre at which another may be as near: that of twice its own distance."""
+    out = np.empty(len(near))
+    for at in range(0, len(near), 4096):
+        some = slice(at, at + 4096)
+        out[some] = 4 * ((_points(column[some])[:, :-1] - centres[near[some]]) ** 2).sum(1)
+    return out
+
+
+def _renewed(column: pa.Array, near: np.ndarray, reach: np.ndarray, centres: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point and its ``reach``, from what they were before the ``moved`` centres moved.
+
+    A point u away from its centre has no nearer one 2u or more from that centre, and where its own stayed, only those that
+    moved can have come nearer. Candidates meet in single precision; a point goes over only if it is nearer in double precision too.
+    """
+    norms = (centres**2).sum(1)
+    table = np.hstack([centres, -norms[:, None] / 2]).astype(np.float32)
+    here, row = np.unique(near, return_inverse=True)
+    far = np.full((len(here), len(centres)), np.inf)
+    for rows, columns in ((np.nonzero(moved[here])[0], np.arange(len(centres))), (np.nonzero(~moved[here])[0], np.nonzero(moved)[0])):
+        far[np.ix_(rows, columns)] = norms[here[rows]][:, None] + norms[columns] - 2 * centres[here[rows]] @ centres[columns].T
+    far[np.arange(len(here)), here] = np.inf
+    far -= 1e-9 * (1 + norms.max())  # rounding
+    out, reach, start = near.copy(), reach.copy(), 0
+    went = np.nonzero(moved[near])[0]
+    reach[went] = _reach(column.take(pa.array(went)), near[went], centres)
+    todo = np.nonzero(reach > far.min(1)[row])[0]
+    todo = todo[np.lexsort((reach[todo], row[todo]))]
+    for end in np.nonzero(np.diff(row[todo], append=-1))[0] + 1:
+        g = row[todo[start]]
+        for at in range(start, end, CHUNK):
+            own = todo[at : min(at + CHUNK, end)]
+            others = np.nonzero(far[g] < reach[own[-1]])[0]
+            x = _points(column.take(pa.array(own)))
+            best = (x.astype(np.float32) @ table[np.r_[here[g], others]].T).argmax(1)
+            over = np.nonzero(best)[0]
+            if len(over):
+                own, x, best = own[over], x[over, :-1], others[best[over] - 1]
+                d2 = ((x - centres[best]) ** 2).sum(1)
+                nearer = d2 < ((x - centres[here[g]]) ** 2).sum(1)
+                out[own[nearer]], reach[own[nearer]] = best[nearer], 4 * d2[nearer]
+        start = end
+    return out, reach
+
+
+class _Rounds:
+    """Lloyd's rounds over ``data(v, weight, h)``: ``total`` has the weighted sum, weight and number of the points of each of ``centres``.
+
+    Points lie in parts by the centre they start with, at most about PART in each, so that a task has neighbours to compare with few
+    candidates. Which centre is the nearest is kept in the shared folder beside the points, a file a part; the driver gets
+    what changed in the sums.
+    """
+
+    def __init__(self, stage: Stage, data: DataFrame, centres: np.ndarray):
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _, best, _ in _blocks(batches, centres):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.astype(np.int32))], ["v", "weight", "h", "near"])
+
+        self.stage, self.spark, self.centres, self.round = stage, stage.spark, centres, 0
+        kind = dict(data.dtypes)["v"]
+        placed = stage.keep(data.mapInArrow(nearest, f"v {kind}, weight double, h bigint, near int"), "placed")
+        sizes = np.zeros(len(centres), np.int64)
+        for r in placed.groupBy("near").count().collect():
+            sizes[r["near"]] = r["count"]
+        before, points = np.cumsum(sizes) - sizes, sizes.sum()
+        self.parts = parts = int(max(self.spark.sparkContext.defaultParallelism, -(-points // PART)))
+
+        def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                near = b.column(3).to_numpy()
+                at = before[near] + b.column(2).to_numpy().view(np.uint64) % sizes[near].astype(np.uint64)  # spreads the points of one centre evenly
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array((at * parts // points).astype(np.int32))], ["v", "weight", "near", "part"])
+
+        self.points = stage.path("parts")
+        placed.mapInArrow(parted, f"v {kind}, weight double, near int, part int").repartition("part").write.partitionBy("part").parquet(self.points)
+        stage.drop(placed)
+        self.state = stage.path("nearest")
+        self.total = np.zeros((len(centres), centres.shape[1] + 2))
+        self._assign(np.zeros(len(centres), bool))
+
+    def _assign(self, moved: np.ndarray) -> None:
+        centres, points, state, at = self.centres, self.points, self.state, self.round
+
+        def run(part: int) -> tuple[np.ndarray, np.ndarray] | None:
+            rows = open_shared(f"{points}/part={part}")
+            if rows is None:
+                return None
+            column, w, found = rows["v"].combine_chunks(), rows["weight"].to_numpy(), None
+            if at == 0:
+                new = rows["near"].to_numpy()
+                reach = _reach(column, new, centres)
+                found = _sums(_points(column)[:, :-1], w, new)
+            else:
+                old, reach = (c.to_numpy() for c in open_shared(f"{state}/{at - 1}/{part}").select(["near", "reach"]).columns)
+                new, reach = _renewed(column, old, reach, centres, moved)
+                other = np.nonzero(new != old)[0]
+                if len(other):
+                    found = _sums(np.tile(_points(column.take(pa.array(other)))[:, :-1], (2, 1)), np.r_[w[other], -w[other]], np.r_[new[other], old[other]])
+            write_shared(f"{state}/{at}/{part}", pa.table({"near": new, "reach": reach}))
+            return found
+
+        for found in self.spark.sparkContext.parallelize(range(self.parts), self.parts).map(run).collect():
+            if found:
+                self.total[found[0]] += found[1]
+        self.total[self.total[:, -1] == 0] = 0  # nothing of rounding stays where no point does
+        if at:
+            self.stage.remove(f"{state}/{at - 1}")
+        self.round += 1
+
+    def move(self) -> float:
+        """Moves the centres to the means of their points and gives each point its nearest again; how far the centres went at most."""
+        weight = self.total[:, -2:-1]
+        new = np.where(weight > 0, self.total[:, :-2] / np.maximum(weight, 1e-300), self.centres)
+        moved = (new != self.centres).any(1)
+        most = float(np.sqrt(((new - self.centres) ** 2).sum(1).max()))
+        self.centres = new
+        if moved.any():
+            self._assign(moved)
+        return most
+
+
 def vocabulary(spark: SparkSession, points: DataFrame, vector: str, k: int, seed: int = 0, iterations: int = 20, weight: str | None = None) -> DataFrame:
     """(centroid_id, v): k centroids from over-clustering and pruning, after the all-zero EMPTY centroid of id 0.
 
@@ -153,14 +282,11 @@ def vocabulary(spark: SparkSession, points: DataFrame, vector: str, k: int, seed
     centres = _starts(data, first, seed) if data.count() > first else _vectors(data.orderBy("h", "v"))
     if not len(centres):
         raise ValueError("no points")
+    rounds = _Rounds(stage, data, centres)
     for _ in range(iterations):
-        sums, population = _assigned(data, centres)
-        new = np.where(population[:, None] > 0, sums / np.maximum(population, 1e-300)[:, None], centres)
-        moved = ((new - centres) ** 2).sum(1).max()
-        centres = new
-        if moved <= SETTLED**2:
+        if rounds.move() <= SETTLED:
             break
-    population = np.rint(_assigned(data, centres)[1]).astype(np.int64)
+    centres, population = rounds.centres, np.rint(rounds.total[:, -2]).astype(np.int64)
     stage.close()
     kept = prune(centres, population, k, seed)
     rows = [(0, [0.0] * kept.shape[1])] + [(i + 1, [float(x) for x in v]) for i, v in enumerate(kept)]

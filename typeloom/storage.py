@@ -65,6 +65,17 @@ def open_shared(path: str) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(files.open_input_file(x)).read() for x in parts]) if parts else None
 
 
+def write_shared(path: str, rows: pa.Table) -> None:
+    """Writes a small Parquet folder below the shared folder inside a task, for ``open_shared``; whole or not at all, the same again if a task is repeated."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, at = (fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(path)
+    files.create_dir(at)
+    pq.write_table(rows, part := f"{at}/{uuid.uuid4().hex}.tmp", filesystem=files, use_dictionary=False, compression="none")
+    files.move(part, f"{at}/rows.parquet")
+
+
 class Stage:
     """The intermediate tables of one query. ``keep`` writes one, ``drop`` removes one that nothing reads any more.
 
@@ -104,6 +115,10 @@ class Stage:
         if path:
             _delete(self.spark, path)
 
+    def remove(self, path: str) -> None:
+        """Removes what tasks wrote to ``path`` themselves."""
+        _delete(self.spark, path)
+
     def close(self) -> None:
         """At exit; a session that has gone already leaves its folder to the cluster's own clean-up."""
         try:
