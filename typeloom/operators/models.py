@@ -167,21 +167,26 @@ def _renewed(column: pa.Array, near: np.ndarray, reach: np.ndarray, centres: np.
         far[np.ix_(rows, columns)] = norms[here[rows]][:, None] + norms[columns] - 2 * centres[here[rows]] @ centres[columns].T
     far[np.arange(len(here)), here] = np.inf
     far -= 1e-9 * (1 + norms.max())  # rounding
+    least = far.min(1)
+    far[np.arange(len(here)), here] = -np.inf  # its own is always among the candidates
     out, reach, start = near.copy(), reach.copy(), 0
     went = np.nonzero(moved[near])[0]
     reach[went] = _reach(column.take(pa.array(went)), near[went], centres)
-    todo = np.nonzero(reach > far.min(1)[row])[0]
+    todo = np.nonzero(reach > least[row])[0]
     todo = todo[np.lexsort((reach[todo], row[todo]))]
+    points = np.empty((len(todo), table.shape[1]), np.float32)
+    for at in range(0, len(todo), 16_384):
+        points[at : at + 16_384] = _points(column.take(pa.array(todo[at : at + 16_384])))
     for end in np.nonzero(np.diff(row[todo], append=-1))[0] + 1:
         g = row[todo[start]]
         for at in range(start, end, CHUNK):
             own = todo[at : min(at + CHUNK, end)]
-            others = np.nonzero(far[g] < reach[own[-1]])[0]
-            x = _points(column.take(pa.array(own)))
-            best = (x.astype(np.float32) @ table[np.r_[here[g], others]].T).argmax(1)
-            over = np.nonzero(best)[0]
+            some = np.flatnonzero(far[g] < reach[own[-1]])
+            best = some[(points[at : at + len(own)] @ table[some].T).argmax(1)]
+            over = np.flatnonzero(best != here[g])
             if len(over):
-                own, x, best = own[over], x[over, :-1], others[best[over] - 1]
+                own, best = own[over], best[over]
+                x = _points(column.take(pa.array(own)))[:, :-1]
                 d2 = ((x - centres[best]) ** 2).sum(1)
                 nearer = d2 < ((x - centres[here[g]]) ** 2).sum(1)
                 out[own[nearer]], reach[own[nearer]] = best[nearer], 4 * d2[nearer]
@@ -189,11 +194,20 @@ def _renewed(column: pa.Array, near: np.ndarray, reach: np.ndarray, centres: np.
     return out, reach
 
 
+def _line(centres: np.ndarray) -> np.ndarray:
+    """An order in which centres beside each other are mostly near each other: halves along the direction in which they differ most."""
+    if len(centres) <= 8:
+        return np.arange(len(centres))
+    from_mean = centres - centres.mean(0)
+    order = np.argsort(from_mean @ np.linalg.eigh(from_mean.T @ from_mean)[1][:, -1], kind="stable")
+    return np.concatenate([half[_line(centres[half])] for half in np.array_split(order, 2)])
+
+
 class _Rounds:
     """Lloyd's rounds over ``data(v, weight, h)``: ``total`` has the weighted sum, weight and number of the points of each of ``centres``.
 
-    Points lie in parts by the centre they start with, at most about PART in each, so that a task has neighbours to compare with few
-    candidates. Which centre is the nearest is kept in the shared folder beside the points, a file a part; the driver gets
+    Points lie in parts by the centre they start with, at most about PART in each, near centres together, so that a task has many
+    points of few centres. Which centre is the nearest is kept in the shared folder beside the points, a file a part; the driver gets
     what changed in the sums.
     """
 
@@ -208,7 +222,8 @@ class _Rounds:
         sizes = np.zeros(len(centres), np.int64)
         for r in placed.groupBy("near").count().collect():
             sizes[r["near"]] = r["count"]
-        before, points = np.cumsum(sizes) - sizes, sizes.sum()
+        line, before, points = _line(centres), np.zeros_like(sizes), sizes.sum()
+        before[line] = np.cumsum(sizes[line]) - sizes[line]
         self.parts = parts = int(max(self.spark.sparkContext.defaultParallelism, -(-points // PART)))
 
         def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
